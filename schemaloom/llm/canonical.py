@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from schemaloom.llm.codepoints import to_codepoints, to_text
 
@@ -186,7 +187,7 @@ def canonical(df: DataFrame, text: str, out: str = "canonical") -> DataFrame:
     """
     kept = [c for c in df.columns if c != out]
     narrow = df.select(*(F.col(f"`{c}`") for c in kept))
-    schema = narrow.schema.add(out, "string")
+    schema = T.StructType([*narrow.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
