@@ -88,7 +88,7 @@ def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if carry is not None:
             rows = pa.concat_tables([carry, rows])
         key, value, n = runs_of(rows)
-        carry = pa.table({"key": key[-1:], "value": value[-1:], "n": pa.array(n[-1:], pa.int64())})
+        carry = pa.Table.from_arrays([key[-1:], value[-1:], pa.array(n[-1:], pa.int64())], schema=rows.schema)
         key, value, n = key[:-1], value[:-1], n[:-1]
         if len(n) and not first_out:
             yield boundary(key[:1], value[:1], n[:1])
