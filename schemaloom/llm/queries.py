@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.llm.canonical import canonical, lookalike_pairs
+from schemaloom.functions.svo import triples_once
+from schemaloom.llm import mixing, packing, termfreq
 from schemaloom.llm.quality import TAILS, text_quality
+from schemaloom.llm.reservoir import reservoir_sample
 from schemaloom.session import deliver_once, table
 
 
@@ -32,11 +35,122 @@ def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical(table(spark, d, "corpus").select("sent_id", "text"), "text")
 
 
+def p6_sample(spark: SparkSession, d: str, size: int = 1000) -> DataFrame:
+    """``size`` records of each collection, every record (sent_id) with the same chance."""
+
+    def drawn(name: str, seed: int) -> DataFrame:
+        once = deliver_once(table(spark, d, name), "sent_id", ["sent_id", "text", "piece_no"])
+        return reservoir_sample(once, "sent_id", size, seed).select(F.lit(name).alias("src"), "sent_id", "piece_no", "text", "n_population")
+
+    return drawn("enwiki", 17).unionByName(drawn("corpus", 18))
+
+
+def enwiki_terms(spark: SparkSession, d: str) -> DataFrame:
+    once = deliver_once(table(spark, d, "enwiki"), "sent_id", ["sent_id", "text"]).where("sent_id is not null")
+    return termfreq.long_record_terms(once.select("sent_id", termfreq.words_of(F.col("text")).alias("terms")), "sent_id", "terms")
+
+
+def lemma_terms(spark: SparkSession, d: str) -> DataFrame:
+    rows = triples_once(table(spark, d, "corpus_parsed_svo")).where("lemma is not null and sent_id is not null")
+    return rows.select(F.col("lemma").alias("key"), F.col("sent_id").cast("bigint").alias("value"), F.lit(0).cast("bigint").alias("piece"), F.lit(1).cast("bigint").alias("n"))
+
+
+def p7_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    """``src, term, n_occurrences, n_records, mark`` of every term."""
+    words = table(spark, d, "enwiki").agg(F.count_distinct("sent_id").alias("n_all"))
+    parsed = table(spark, d, "corpus_parsed_svo").where(F.exists("svos", lambda s: s.isNotNull()))
+    triples = parsed.agg(F.count_distinct("sent_id").alias("n_all"))
+    english = termfreq.marked(termfreq.term_frequencies(enwiki_terms(spark, d)), words).withColumn("src", F.lit("enwiki"))
+    lemmas = termfreq.marked(termfreq.term_frequencies(lemma_terms(spark, d)), triples).withColumn("src", F.lit("corpus_parsed_svo"))
+    return english.unionByName(lemmas).select("src", "term", "n_occurrences", "n_records", "mark")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_frequencies(spark, d).where("mark is not null").select("src", "term", "mark")
+
+
+def sized_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents once each with their size in byte tokens; the stored counts are unreliable."""
+    rows = table(spark, d, "documents").select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    return deliver_once(rows, "doc_id", ["doc_id", "source", "size"])
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The contents of every container: ``pack_name, bin, doc_id, piece, n_pieces, length``."""
+    contents, _ = packing.pack(sized_documents(spark, d), "doc_id", "size", table(spark, d, "pack_spec"))
+    return contents.withColumnRenamed("item", "doc_id")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind of container: containers, used space, share left empty, and the least number that could do."""
+    contents, _ = packing.pack(sized_documents(spark, d), "doc_id", "size", table(spark, d, "pack_spec"))
+    bins = packing.bin_fill(contents, table(spark, d, "pack_spec"))
+    return bins.groupBy("pack_name", "capacity").agg(
+        F.count(F.lit(1)).alias("n_bins"), F.sum("used").alias("used"), F.ceil(F.sum("used") / F.col("capacity")).alias("least_bins"),
+        F.round(F.sum("slack") / (F.count(F.lit(1)) * F.col("capacity")), 6).alias("empty_share"),
+    )
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_packed(spark, d).where("n_pieces > 1 and piece = 0").select("pack_name", "doc_id")
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture in training order."""
+    mixed = mixing.mixture(sized_documents(spark, d), "doc_id", "source", "size", table(spark, d, "mix_target"))
+    return mixing.in_training_order(mixed).withColumnRenamed("item", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    documents, targets = sized_documents(spark, d), table(spark, d, "mix_target")
+    mixed = mixing.mixture(documents, "doc_id", "source", "size", targets)
+    return mixing.reached_shares(documents, "source", "size", targets, mixed)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_shares(spark, d).where(~F.col("reachable")).select("source")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_quality": p2_quality,
     "p5_found": p5_found,
     "p5_canonical": p5_canonical,
+    "p6_sample": p6_sample,
+    "p7_found": p7_found,
+    "p7_frequencies": p7_frequencies,
+    "p8_found": p8_found,
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
+    "p9_found": p9_found,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
 }
 
-SQL: dict[str, str] = {}
+B = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+_TERMS = rf"""
+WITH words AS (SELECT sent_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS term FROM (SELECT DISTINCT sent_id, text FROM enwiki)),
+triple AS (SELECT sent_id, unnest(svos) AS s FROM (SELECT DISTINCT sent_id, svos FROM corpus_parsed_svo)),
+lemmas AS (SELECT sent_id, lower(regexp_replace(regexp_replace(s.verb.lemma, '^{B}+|{B}+$', '', 'g'), '^!{B}*', '')) AS term FROM triple),
+freq AS (
+  SELECT 'enwiki' AS src, term, count(*) AS n_occurrences, count(DISTINCT sent_id) AS n_records,
+         (SELECT count(DISTINCT sent_id) FROM enwiki) AS n_all FROM words GROUP BY term
+  UNION ALL
+  SELECT 'corpus_parsed_svo', term, count(*), count(DISTINCT sent_id),
+         (SELECT count(DISTINCT sent_id) FROM triple WHERE s IS NOT NULL) FROM lemmas WHERE term <> '' GROUP BY term),
+marked AS (SELECT *, CASE WHEN n_records > 0.1::DOUBLE * n_all THEN 'common' WHEN n_records <= 2 THEN 'rare' END AS mark FROM freq)
+"""
+_SIZES = rf"""
+WITH doc AS (SELECT doc_id, lower(regexp_replace(source, '^{B}+|{B}+$', '', 'g')) AS source, coalesce(octet_length(encode(text)), 0) AS size
+             FROM (SELECT DISTINCT doc_id, source, text FROM documents))
+"""
+
+SQL: dict[str, str] = {
+    "p7_found": _TERMS + "SELECT src, term, mark FROM marked WHERE mark IS NOT NULL",
+    "p7_frequencies": _TERMS + "SELECT src, term, n_occurrences, n_records, mark FROM marked",
+    "p8_found": _SIZES + "SELECT pack_name, doc_id FROM doc, pack_spec WHERE size > capacity",
+    "p9_found": _SIZES
+    + """SELECT source FROM (
+  SELECT t.source, target_share * (SELECT sum(size) FROM doc) AS wanted, max_repeats * coalesce((SELECT sum(size) FROM doc d WHERE d.source = t.source), 0) AS possible
+  FROM mix_target t) WHERE possible < wanted""",
+}
