@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.llm.canonical import canonical, lookalike_pairs
 from schemaloom.functions.svo import triples_once
-from schemaloom.llm import mixing, packing, termfreq
+from schemaloom.llm import langid, mixing, packing, termfreq
 from schemaloom.llm.quality import TAILS, text_quality
 from schemaloom.llm.reservoir import reservoir_sample
 from schemaloom.session import deliver_once, table
@@ -111,6 +111,30 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_shares(spark, d).where(~F.col("reachable")).select("source")
 
 
+def identified(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    model = langid.fit_documents(documents, "doc_id", "text", "lang")
+    labelled = documents.select("doc_id", "text", langid.label_language(F.col("lang")).alias("label"))
+    return langid.identify(labelled, ["doc_id", "label"], "text", model)
+
+
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's language, confidence, and all languages it has whole sentences in."""
+    return identified(spark, d).select("doc_id", "label", "lang", F.round("confidence", 4).alias("confidence"), F.array_join("languages", ",").alias("languages")).distinct()
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Each segment of one language of the documents that mix several."""
+    rows = identified(spark, d).where(F.size("languages") > 1).select("doc_id", F.inline("segments")).distinct()
+    return rows.select("doc_id", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "lang", F.round("confidence", 4).alias("confidence"), "sure")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = identified(spark, d).where("lang is not null")
+    wrong = F.col("label").isNull() | ~F.array_contains("languages", F.col("label")) | (F.size("languages") > 1)
+    return rows.where(wrong).select("doc_id", F.explode("languages").alias("lang")).distinct()
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_quality": p2_quality,
@@ -125,6 +149,9 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_documents": p10_documents,
+    "p10_segments": p10_segments,
 }
 
 B = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
