@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.llm.canonical import canonical, lookalike_pairs
 from schemaloom.functions.svo import triples_once
-from schemaloom.llm import langid, mixing, packing, termfreq
+from schemaloom.llm import langid, mixing, packing, sentences, termfreq
 from schemaloom.llm.quality import TAILS, text_quality
 from schemaloom.llm.reservoir import reservoir_sample
 from schemaloom.session import deliver_once, table
@@ -24,6 +24,21 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(~F.col("is_prose")).select("sent_id")
 
 
+def p4_texts(spark: SparkSession, d: str) -> DataFrame:
+    """``src, rec_id, text``: wiki pages, and the corpus records that are prose."""
+    pages = deliver_once(table(spark, d, "wiki_page"), "revid", ["revid", "text"])
+    records = deliver_once(table(spark, d, "corpus"), "sent_id", ["sent_id", "text"])
+    prose = records.join(p2_found(spark, d), "sent_id", "left_anti")
+    return pages.select(F.lit("wiki_page").alias("src"), F.col("revid").alias("rec_id"), "text").unionByName(
+        prose.select(F.lit("corpus").alias("src"), F.col("sent_id").cast("string").alias("rec_id"), "text")
+    )
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    every = table(spark, d, "wiki_page").select("text").unionByName(table(spark, d, "corpus").select("text"))
+    return sentences.sentence_ends(p4_texts(spark, d), ["src", "rec_id"], "text", sentences.learn(every.where("text is not null")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     once = deliver_once(table(spark, d, "corpus"), "sent_id", ["sent_id", "text"])
     pairs = lookalike_pairs(once.where("sent_id is not null"), "sent_id", "text")
@@ -138,6 +153,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_quality": p2_quality,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_canonical": p5_canonical,
     "p6_sample": p6_sample,
