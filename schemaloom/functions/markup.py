@@ -12,6 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Elements dropped with their content, and elements that have none.
 DROPPED = ("gallery", "timeline", "noinclude", "pre", "table", "tr", "td", "th", "caption", "div", "form", "input", "select", "option", "textarea", "ul", "li", "ol", "dl", "dt", "dd", "menu", "dir", "ref", "references", "img", "imagemap", "source", "small", "sub", "sup")
@@ -103,7 +104,7 @@ def compact_lines(text: str) -> list[str]:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def page_text(pages: pd.Series) -> pd.Series:
     """Plain paragraphs of each page, one a line; null stays null."""
     return pages.map(lambda t: None if t is None else "\n".join(compact_lines(plain_text(t))))
