@@ -77,7 +77,7 @@ def bootstrap_means(spark: SparkSession, d: str, draws: int = 200) -> DataFrame:
     u = F.pmod(F.xxhash64("sent_id", "draw"), F.lit(1 << 31)) / float(1 << 31)
     steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
     copies = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    means = each.withColumn("c", copies).groupBy("dataset", "draw").agg((F.sum(F.col("length") * F.col("c")) / F.sum("c")).alias("mean"))
+    means = each.withColumn("c", copies).groupBy("dataset", "draw").agg(F.try_divide(F.sum(F.col("length") * F.col("c")), F.sum("c")).alias("mean"))
     return means.groupBy("dataset").agg(F.avg("mean").alias("mean"), F.stddev_pop("mean").alias("std"), F.count(F.lit(1)).alias("draws"))
 
 
