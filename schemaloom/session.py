@@ -57,3 +57,12 @@ def deliver_once(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     other = F.when(F.col("_id").isNull(), F.xxhash64("_row")).alias("_null_key")
     once = kept.groupBy("_id", other).agg(F.min("_row").alias("_row"))
     return once.select(F.col("_id").alias(id_col), *(F.col("_row")[c].alias(c) for c in columns if c != id_col))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for steps that cost far more than a shuffle of it.
+
+    Tables of enough files stay as they are; only a table too small to be split is dealt out.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
