@@ -30,6 +30,8 @@ UNITS_PER_LABEL = 400
 LANDMARKS_PER_LABEL = 60
 RIDGE = 0.3
 CHUNK_CHARS = 200_000
+# Bits of an n-gram's key; the rest number the units of a chunk.
+KEY_BITS = 42
 
 # Opening and closing quotation marks.
 QUOTED = re.compile("\"[^\"\n]{1,200}\"|“[^“”\n]{1,200}”|„[^„“”\n]{1,200}[“”]|«[^«»\n]{1,200}»|「[^「」\n]{1,200}」|『[^『』\n]{1,200}』")
@@ -37,6 +39,8 @@ QUOTED = re.compile("\"[^\"\n]{1,200}\"|“[^“”\n]{1,200}”|„[^„“”\
 BREAK = re.compile(r"\n+|(?:(?<=[!?…।॥])|(?<=[^\W\d_]{4}\.)|(?<=\d{4}\.)|(?<=\.[\"”’»]))[\"”’»)]*\s+(?![a-zà-ÿа-я])|(?<=[。！？])[”」』）\"]*\s*")
 ENDS = ".!?…。！？।"
 WORD_GAP = re.compile(r"\s")
+NO_LETTER = re.compile(r"[\W\d_]+")
+WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
 
 
 def stands_alone(text: str, at: int, to: int) -> bool:
@@ -80,7 +84,7 @@ def units_of(text: str) -> list[tuple[int, int, str]]:
 
 def weight(piece: str) -> int:
     """Letters of ``piece``; an ideograph or kana counts as four."""
-    return sum(4 if "぀" <= c <= "鿿" else 1 for c in piece if c.isalpha())
+    return len(NO_LETTER.sub("", piece)) + 3 * len(WIDE.findall(piece))
 
 
 @lru_cache(maxsize=1)
@@ -117,12 +121,12 @@ def grams(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 inside &= ~blank
             rows.append(unit[:last][inside])
             keys.append(mixed[inside])
-    row, key = np.concatenate(rows), np.concatenate(keys)
-    order = np.lexsort((key, row))
-    row, key = row[order], key[order]
-    first = np.ones(len(row), bool)
-    first[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
-    return row[first], key[first]
+    # One integer a pair, unit first, so that a plain sort orders both.
+    both = np.sort(np.concatenate(rows).astype(np.uint64) << np.uint64(KEY_BITS) | np.concatenate(keys) >> np.uint64(64 - KEY_BITS))
+    first = np.ones(len(both), bool)
+    first[1:] = both[1:] != both[:-1]
+    both = both[first]
+    return (both >> np.uint64(KEY_BITS)).astype(np.int64), both & np.uint64((1 << KEY_BITS) - 1)
 
 
 def presence_product(row: np.ndarray, key: np.ndarray, n: int, vocabulary: np.ndarray, weights: np.ndarray) -> np.ndarray:

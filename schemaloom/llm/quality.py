@@ -23,6 +23,8 @@ BULLET = r"^(?:[-–—•·►▪◦*‣]|\(?\p{L}[.)]|\(\p{L}\)|\(?\d{1,3}[.)]
 TEXT_MARKS = r"""[.,:;!?'"’‘“”„«»()¿¡、。，！？：；「」『』（）．…–—।\-‐‑％%$€£§№º]"""
 IDEOGRAPH = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 WORD = rf"{IDEOGRAPH}|[\p{{L}}\p{{M}}\p{{N}}&&[^\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}]]+(?:['’][\p{{L}}\p{{M}}]+)*"
+NO_VOWEL = r"(?<![\p{L}\p{N}])[b-df-hj-np-tv-xz]{3,}(?![\p{L}\p{N}])"
+OVERLONG = r"[\p{L}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]{25,}"
 CELL_EDGE = r"\s*[|│;；,，、·\t&•/]\s*|\s{2,}"
 QUOTE = r"[«»“”„\"「」]"
 ITEM_EXTENT = 4.5
@@ -85,37 +87,32 @@ def text_statistics(df: DataFrame, text: str, common: dict[str, list[str]]) -> D
     df = df.withColumns({
         "lang_guess": F.when((han > 0.3) & (kana > 0), "ja").when(han > 0.3, "zh").when(indic > 0.3, "hi").when(cyrillic > 0.3, "ru")
                        .when(sure, best["lang"]).otherwise(NO_LANGUAGE),
-        "_brief": F.transform("_lines", lambda x: extent(F.regexp_replace(x, BULLET, ""))),
-        "_ended": F.transform("_lines", lambda x: x.rlike(LINE_END)),
-        "_cells": F.transform("_lines", lambda x: F.when(x.rlike(QUOTE), F.array(F.lit(99.0))).otherwise(F.transform(F.split(x, CELL_EDGE), extent))),
     })
-    vowels = r"[aeiouyàâäáãåæèéêëìíîïòóôöõøùúûüýāēīōū]"
+    # Only lines without an end mark can be items or rows of cells.
+    df = df.withColumn("_open", F.filter("_lines", lambda x: ~x.rlike(LINE_END)))
+    df = df.withColumns({
+        "_brief": F.transform("_open", lambda x: extent(F.regexp_replace(x, BULLET, ""))),
+        "_cells": F.transform("_open", lambda x: F.when(x.rlike(QUOTE), F.array(F.lit(99.0))).otherwise(F.transform(F.split(x, CELL_EDGE), extent))),
+    })
     # Words of alphabetic scripts without a vowel, or longer than any language's words.
-    odd = F.size(F.filter("_words", lambda w: (w.rlike(r"^[a-z]{3,}$") & ~w.rlike(vowels)) | (F.length(w) > 24)))
-    is_list = F.transform(
-        F.arrays_zip("_brief", "_ended"),
-        lambda x: (x["_brief"] <= ITEM_EXTENT) & ~x["_ended"],
-    )
-    is_row = F.transform(
-        F.arrays_zip("_cells", "_ended"),
-        lambda x: (F.size(x["_cells"]) > 2) & (F.array_max(x["_cells"]) <= ITEM_EXTENT) & ~x["_ended"],
-    )
+    odd = count_of(F.lower("_t"), NO_VOWEL) + count_of(F.col("_t"), OVERLONG)
+    is_row = lambda c: (F.size(c) > 2) & (F.array_max(c) <= ITEM_EXTENT)
     known = F.col("_t").isNotNull()
     stats = {
         "n_words": n_words.cast("double"),
         "mean_word_length": ratio(F.aggregate("_words", F.lit(0), lambda a, w: a + F.length(w)), n_words),
         "symbol_ratio": F.when(n_words == 0, F.lit(1.0)).otherwise(ratio(marks - count_of(F.col("_t"), r"[\p{L}\p{M}\p{N}\p{IsHan}]") - count_of(F.col("_t"), TEXT_MARKS), marks)),
         "digit_ratio": ratio(count_of(F.col("_t"), r"\p{N}"), marks),
-        "line_end_share": ratio(F.size(F.filter("_ended", lambda x: x)), F.size("_lines")),
+        "line_end_share": ratio(F.size("_lines") - F.size("_open"), F.size("_lines")),
         "common_share": ratio(F.coalesce(best["n"], F.lit(0)), n_words),
         "odd_word_share": ratio(odd, n_words),
-        "item_line_share": F.when(F.size("_lines") > 1, ratio(F.size(F.filter(is_list, lambda x: x)), F.size("_lines"))).otherwise(F.lit(0.0)),
+        "item_line_share": F.when(F.size("_lines") > 1, ratio(F.size(F.filter("_brief", lambda n: n <= ITEM_EXTENT)), F.size("_lines"))).otherwise(F.lit(0.0)),
         "repeat_share": F.when(n_words > 5, 1 - ratio(F.size(F.array_distinct("_words")), n_words)).otherwise(F.lit(0.0)),
         # Share of lines that are rows of short cells and no sentence.
-        "cell_line_share": ratio(F.size(F.filter(is_row, lambda x: x)), F.size("_lines")),
+        "cell_line_share": ratio(F.size(F.filter("_cells", is_row)), F.size("_lines")),
     }
     df = df.withColumns({k: F.when(known, v) for k, v in stats.items()})
-    return df.drop("_t", "_words", "_lines", "_hits", "_brief", "_ended", "_cells")
+    return df.drop("_t", "_words", "_lines", "_hits", "_open", "_brief", "_cells")
 
 
 def is_cjk(word: str) -> bool:
@@ -165,6 +162,8 @@ def judged(stats: DataFrame, quantiles: DataFrame, z_tail: float = Z_TAIL) -> Da
     """
     df = stats.join(quantiles, "lang_guess", "left")
     df = df.withColumns({f"z_{c}": robust_z(F.col(c), F.col("_q")[c], unit) for c, (unit, _, _) in TAILS.items()})
+    # A text in which no language has LEAST_COMMON common words lies in the lower tail of their share.
+    df = df.withColumn("z_common_share", F.when(F.col("lang_guess") == NO_LANGUAGE, F.least("z_common_share", F.lit(-z_tail - 1))).otherwise(F.col("z_common_share")))
     weights = [
         F.when(F.col(f"z_{c}") > z_tail, F.lit(high)).when(F.col(f"z_{c}") < -z_tail, F.lit(low)).otherwise(F.lit(0.0))
         for c, (_, low, high) in TAILS.items()

@@ -10,17 +10,17 @@ from schemaloom.functions.svo import triples_once
 from schemaloom.llm import langid, mixing, packing, sentences, termfreq
 from schemaloom.llm.quality import TAILS, text_quality
 from schemaloom.llm.reservoir import reservoir_sample
-from schemaloom.session import deliver_once, table
+from schemaloom.session import deliver_once, spread, table
 
 
 def p2_quality(spark: SparkSession, d: str) -> DataFrame:
     """Every record's statistics, z-scores and verdict."""
-    rows = text_quality(table(spark, d, "corpus"), "sent_id", "text", table(spark, d, "common_words"))
+    rows = text_quality(spread(table(spark, d, "corpus").select("sent_id", "text")), "sent_id", "text", table(spark, d, "common_words"))
     return rows.select("sent_id", "lang_guess", "n_words", *TAILS, *(f"z_{c}" for c in TAILS), "tail_score", "is_prose")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = text_quality(table(spark, d, "corpus"), "sent_id", "text", table(spark, d, "common_words"))
+    rows = text_quality(spread(table(spark, d, "corpus").select("sent_id", "text")), "sent_id", "text", table(spark, d, "common_words"))
     return rows.where(~F.col("is_prose")).select("sent_id")
 
 
@@ -35,7 +35,7 @@ def p4_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    every = table(spark, d, "wiki_page").select("text").unionByName(table(spark, d, "corpus").select("text"))
+    every = spread(table(spark, d, "wiki_page").select("text").unionByName(table(spark, d, "corpus").select("text")))
     return sentences.sentence_ends(p4_texts(spark, d), ["src", "rec_id"], "text", sentences.learn(every.where("text is not null")))
 
 
@@ -127,7 +127,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def identified(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
+    documents = spread(table(spark, d, "documents").select("doc_id", "text", "lang"))
     model = langid.fit_documents(documents, "doc_id", "text", "lang")
     labelled = documents.select("doc_id", "text", langid.label_language(F.col("lang")).alias("label"))
     return langid.identify(labelled, ["doc_id", "label"], "text", model)
