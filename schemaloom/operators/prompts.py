@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from schemaloom.operators.ranking import ranked
+
 MAX_ARGUMENT = 32
 MAX_GROUPS = 10_000
 SEPARATOR = " & "
@@ -67,7 +69,7 @@ def parsed_completion(raw: Column) -> Column:
 
 def batches(df: DataFrame, key: str, ordinal: str, size: int = 3) -> DataFrame:
     """``df`` with ``batch`` and ``place``: every ``size`` consecutive rows of a key; an incomplete last batch is dropped."""
-    w = Window.partitionBy(key)
-    df = df.withColumn("_n", F.row_number().over(w.orderBy(ordinal)) - 1).withColumn("_all", F.count(F.lit(1)).over(w))
-    df = df.withColumn("batch", F.floor(F.col("_n") / size).cast("int")).withColumn("place", (F.col("_n") % size).cast("int"))
-    return df.where((F.col("batch") + 1) * size <= F.col("_all")).drop("_n", "_all")
+    total = df.groupBy(key).agg(F.count(F.lit(1)).alias("_all"))
+    numbered = ranked(df, [key], [F.col(ordinal)], "_n").withColumn("_n", F.col("_n") - 1).join(total, key)
+    numbered = numbered.withColumn("batch", F.floor(F.col("_n") / size).cast("int")).withColumn("place", (F.col("_n") % size).cast("int"))
+    return numbered.where((F.col("batch") + 1) * size <= F.col("_all")).drop("_n", "_all")

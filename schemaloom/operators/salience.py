@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from schemaloom.operators.ranking import ranked
+
 BACKGROUND_SIZE = 1e8
 
 
@@ -31,7 +33,8 @@ def top_terms(scored: DataFrame, stop: DataFrame, ratio: float, min_freq: int) -
     """
     budget = int(scored.count() * ratio)
     kept = scored.join(stop.select("term"), "term", "left_anti")
-    best = kept.orderBy(F.desc("salience"), "term").limit(budget) if budget else kept
+    # The budget is a share of the vocabulary, so the best are numbered in place and not gathered.
+    best = ranked(kept, [], [F.desc("salience"), F.col("term")]).where(F.col("rank") <= budget).drop("rank") if budget else kept
     return best.where(F.col("freq") >= min_freq)
 
 

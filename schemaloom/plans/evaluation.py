@@ -26,10 +26,11 @@ def label_means(spark: SparkSession, d: str) -> DataFrame:
 
 def nearest_label(spark: SparkSession, d: str) -> DataFrame:
     """Each vector with the label of the most similar label mean; labels are few, so their means are a small table."""
-    means = op.packed(op.mean_vectors(embeddings(spark, d), "label", "embedding"), "label").select(F.col("label").alias("pred"), "vector")
-    sims = embeddings(spark, d).withColumn("_k", F.lit(1)).join(means.withColumn("_k", F.lit(1)), "_k").withColumn("s", F.round(op.cosine(F.col("embedding"), F.col("vector")), 9))
-    best = sims.groupBy("vec_id", "label").agg(F.min(F.struct((-F.col("s")).alias("s"), "pred")).alias("x"))
-    return best.select("vec_id", "label", "x.pred", F.round(-F.col("x.s"), 6).alias("similarity"))
+    means = op.packed(op.mean_vectors(embeddings(spark, d), "label", "embedding"), "label")
+    table_of = means.agg(F.array_sort(F.collect_list(F.struct(F.col("label").alias("pred"), "vector"))).alias("m")).scalar()
+    rows = embeddings(spark, d).withColumn("_m", table_of)
+    scored = F.transform("_m", lambda m: F.struct((-F.round(op.cosine(F.col("embedding"), m["vector"]), 9)).alias("s"), m["pred"].alias("pred")))
+    return rows.withColumn("x", F.array_min(scored)).select("vec_id", "label", "x.pred", F.round(-F.col("x.s"), 6).alias("similarity"))
 
 
 def cluster_scores(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions.svo import triples_once
 from schemaloom.operators import salience as op
-from schemaloom.session import deliver_once, table
+from schemaloom.session import deliver_once, table, with_checkpoints
 
 TOP = 500
 
@@ -75,9 +75,10 @@ def top_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def pair_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Each linked sentence of a salient pair, once; a pair's list is the rows with its key."""
-    pairs = top_pairs(spark, d)
-    linked = salient_pairs(spark, d).select("lemma", "head", "sent_id").distinct()
-    return pairs.join(linked, ["lemma", "head"], "left")
+    with_checkpoints(spark)
+    every = salient_pairs(spark, d).checkpoint()  # read twice: for the best pairs and for their sentences
+    linked = every.select("lemma", "head", "sent_id").distinct()
+    return op.top_pairs(every, TOP).join(linked, ["lemma", "head"], "left")
 
 
 QUERIES = {

@@ -18,7 +18,8 @@ def slot_rows(spark: SparkSession, d: str) -> DataFrame:
     linked = salience.pair_sentences(spark, d).select(F.concat_ws(" ", "lemma", "head").alias("vo"), F.col("sent_id").alias("sample"))
     tokens = deliver_once(table(spark, d, "corpus_parsed_svo"), "sent_id", ["sent_id", "token_list"])
     words = tokens.select(F.col("sent_id").alias("sample"), F.array_distinct(F.filter("token_list", lambda t: t.rlike("^[a-z]{3,}$"))).alias("words"))
-    return linked.join(words, "sample").select("vo", "sample", F.explode("words").alias("slot"))
+    # Counted, normalised and joined with itself by what follows, so it is written once.
+    return linked.join(words, "sample").select("vo", "sample", F.explode("words").alias("slot")).checkpoint()
 
 
 def slot_tfidf(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from schemaloom.functions.markup import compact_lines, internal_links, normalised_title, page_text, plain_text, without_nested
+from schemaloom.operators.ranking import ranked
 from schemaloom.operators import corpus, graph, metrics, models, prompts, salience, slots, svo_rules, triples, vectors
 
 
@@ -130,6 +131,14 @@ def test_triple_tools(spark):
     assert rows.count() == 2
 
 
+def test_ranks_of_hot_keys(spark):
+    rows = [("hot", i) for i in range(900)] + [(None, i) for i in range(5)] + [("b", 1)]
+    got = sorted(((r["k"] or "", r["i"], r["rank"]) for r in ranked(spark.createDataFrame(rows, "k string, i int").repartition(5), ["k"], [F.col("i")]).collect()))
+    assert got == sorted((k or "", i, i + 1 if k != "b" else 1) for k, i in rows)
+    whole = ranked(spark.range(100), [], [F.desc("id")])
+    assert {r["id"]: r["rank"] for r in whole.collect()} == {i: 100 - i for i in range(100)}
+
+
 SENTENCE = [("dogs", "dog", "NOUN", "nsubj", 3), ("and", "and", "CCONJ", "cc", 0), ("cats", "cat", "NOUN", "conj", 0), ("chased", "chase", "VERB", "ROOT", 3), ("mice", "mouse", "NOUN", "dobj", 3)]
 PASSIVE = [("mice", "mouse", "NOUN", "nsubjpass", 3), ("were", "be", "AUX", "auxpass", 3), ("not", "not", "PART", "neg", 3), ("chased", "chase", "VERB", "ROOT", 3), ("by", "by", "ADP", "agent", 3), ("dogs", "dog", "NOUN", "pobj", 4)]
 
