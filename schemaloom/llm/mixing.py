@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 256
+SALT_BITS = 12
 # Default schedule: knots of (time, weight relative to the source's share); each averages 1 over the time.
 FLAT = ((0.0, 1.0), (1.0, 1.0))
 EARLY = ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5))
@@ -73,14 +73,14 @@ def mixture(documents: DataFrame, item: str, source: str, size: str, targets: Da
     Documents of a source follow in random order (by hash of ``item``), epoch after epoch, until the source's
     demand is met: the document during which it is met is the last. ``position`` in [0, 1) is the training time
     at which the document is due by its source's schedule. Each ``item`` must be there once; documents of
-    sources without a target, and those of size 0, aren't used. A source with most rows is summed in SALTS
-    parts, whose offsets come from a table of SALTS rows a source.
+    sources without a target, and those of size 0, aren't used. A source with most rows is summed in
+    2^SALT_BITS parts, whose offsets come from a table of as many rows a source.
     """
     schedules = DEFAULT_SCHEDULES if schedules is None else schedules
     rows = documents.select(F.col(item).alias("item"), source_name(F.col(source)).alias("source"), F.col(size).cast("bigint").alias("size"))
     rows = rows.where("source is not null and size > 0").withColumn("_order", F.xxhash64(F.lit(seed), "item"))
     # Parts are ranges of the hash, so that part by part and within a part the order is the order of the hash.
-    rows = rows.withColumn("_salt", (F.shiftright("_order", 56) + 128).cast("int"))
+    rows = rows.withColumn("_salt", (F.shiftright("_order", 64 - SALT_BITS) + (1 << (SALT_BITS - 1))).cast("int"))
     shares = source_shares(documents, source, size, targets).select("source", "own_size", "demand")
     sums = rows.groupBy("source", "_salt").agg(F.sum("size").alias("part"))
     earlier = Window.partitionBy("source").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
+SALTS = 512
 MAX_KINDS = 1000
 PLAN = "pack_name string, capacity int, length int, rank_from bigint, rank_to bigint, per_bin bigint, bin_from bigint"
 

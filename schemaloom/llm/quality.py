@@ -146,7 +146,7 @@ def language_sketches(stats: DataFrame, k: int = 400) -> DataFrame:
 def language_quantiles(sketches: DataFrame) -> DataFrame:
     """Quantiles of every statistic, ``lang_guess`` and one struct column ``_q`` of arrays in the order of QUANTILES."""
     of = [F.array(*(F.kll_sketch_get_quantile_double(F.col(c), F.lit(q)) for q in QUANTILES)).alias(c) for c in TAILS]
-    return sketches.select("lang_guess", F.struct(*of).alias("_q"), F.struct(*TAILS).alias("_sketch"))
+    return sketches.select("lang_guess", F.struct(*of).alias("_q"))
 
 
 def robust_z(value: Column, quantiles: Column, unit: float) -> Column:
@@ -179,4 +179,4 @@ def text_quality(df: DataFrame, record: str, text: str, common: DataFrame) -> Da
     """
     spark_stats = text_statistics(df.select(F.col(record).alias("rec"), F.col(text).alias("_text")), "_text", common_words(common)).drop("_text")
     once = deliver_once(spark_stats, "rec", spark_stats.columns)
-    return judged(once, language_quantiles(language_sketches(once))).drop("_q", "_sketch").withColumnRenamed("rec", record)
+    return judged(once, language_quantiles(language_sketches(once))).drop("_q").withColumnRenamed("rec", record)
