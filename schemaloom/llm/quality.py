@@ -20,11 +20,15 @@ MAX_COMMON_WORDS = 50_000
 LINE_END = r"""[.!?…。！？．।॥؟:：;；][”"'’»」』）)\]]*$"""
 BULLET = r"^(?:[-–—•·►▪◦*‣]|\(?\p{L}[.)]|\(\p{L}\)|\(?\d{1,3}[.)]|[一二三四五六七八九十]{1,3}、)\s*"
 # Punctuation of running text; other marks that are neither letter nor digit count as symbols.
-TEXT_MARKS = r"""[.,:;!?'"’‘“”„«»()¿¡、。，！？：；「」『』（）．…–—।\-‐‑％%$€£§№º]"""
-IDEOGRAPH = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
-WORD = rf"{IDEOGRAPH}|[\p{{L}}\p{{M}}\p{{N}}&&[^\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}]]+(?:['’][\p{{L}}\p{{M}}]+)*"
+TEXT_MARKS = r""".,:;!?'"’‘“”„«»()¿¡、。，！？：；「」『』（）．…–—।\-‐‑％%$€£§№º"""
+# Code points of ideographs with their radicals, and of kana. Ranges, as a script property costs a search a character.
+HAN, KANA = r"\x{2E80}-\x{2FDF}\x{3005}-\x{3007}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}", r"\x{3041}-\x{30FA}\x{30FC}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9D}"
+IDEOGRAPH = f"[{HAN}{KANA}]"
+CYRILLIC, DEVANAGARI = r"\x{400}-\x{52F}", r"\x{900}-\x{97F}"
+WORD = rf"{IDEOGRAPH}|[\p{{L}}\p{{M}}\p{{N}}&&[^{HAN}{KANA}]]+(?:['’][\p{{L}}\p{{M}}]+)*"
+NO_SYMBOL = rf"[\s\p{{Z}}\p{{L}}\p{{M}}\p{{N}}{HAN}{TEXT_MARKS}]+"
 NO_VOWEL = r"(?<![\p{L}\p{N}])[b-df-hj-np-tv-xz]{3,}(?![\p{L}\p{N}])"
-OVERLONG = r"[\p{L}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]{25,}"
+OVERLONG = rf"[\p{{L}}\p{{N}}&&[^{HAN}{KANA}]]{{25,}}"
 CELL_EDGE = r"\s*[|│;；,，、·\t&•/]\s*|\s{2,}"
 QUOTE = r"[«»“”„\"「」]"
 ITEM_EXTENT = 4.5
@@ -47,6 +51,11 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part.cast("double") / whole).otherwise(F.lit(0.0))
 
 
+def characters_of(text: Column, members: str) -> Column:
+    """How many characters belong to a class: the length of what is left without the runs of others."""
+    return F.char_length(F.regexp_replace(text, f"[^{members}]+", ""))
+
+
 def is_one_of(words: list[str]) -> Callable[[Column], Column]:
     return lambda w: w.isin(words)
 
@@ -70,7 +79,7 @@ def text_statistics(df: DataFrame, text: str, common: dict[str, list[str]]) -> D
     df = df.withColumn("_words", F.regexp_extract_all(F.lower("_t"), F.lit(WORD), F.lit(0)))
     df = df.withColumn("_lines", F.filter(F.transform(F.split("_t", r"[\n\r]+"), lambda x: F.regexp_replace(x, r"^[\p{Z}\s]+|[\p{Z}\s]+$", "")), lambda x: x != ""))
     n_words = F.size("_words")
-    marks = count_of(F.col("_t"), r"[^\s\p{Z}]")
+    marks = F.char_length(F.regexp_replace("_t", r"[\s\p{Z}]+", ""))
     hits = {}
     for lang, words in common.items():
         if any(is_cjk(w) for w in words):
@@ -81,9 +90,9 @@ def text_statistics(df: DataFrame, text: str, common: dict[str, list[str]]) -> D
     df = df.withColumn("_hits", F.array(*(F.struct(h.alias("n"), F.lit(lang).alias("lang")) for lang, h in hits.items())))
     best = F.array_max("_hits")
     sure = ratio(best["n"], n_words) >= LEAST_COMMON
-    han = ratio(count_of(F.col("_t"), IDEOGRAPH), marks)
-    kana = count_of(F.col("_t"), r"[\p{IsHiragana}\p{IsKatakana}]")
-    cyrillic, indic = (ratio(count_of(F.col("_t"), rf"\p{{Is{s}}}"), marks) for s in ("Cyrillic", "Devanagari"))
+    han = ratio(characters_of(F.col("_t"), HAN + KANA), marks)
+    kana = characters_of(F.col("_t"), KANA)
+    cyrillic, indic = (ratio(characters_of(F.col("_t"), s), marks) for s in (CYRILLIC, DEVANAGARI))
     df = df.withColumns({
         "lang_guess": F.when((han > 0.3) & (kana > 0), "ja").when(han > 0.3, "zh").when(indic > 0.3, "hi").when(cyrillic > 0.3, "ru")
                        .when(sure, best["lang"]).otherwise(NO_LANGUAGE),
@@ -101,8 +110,8 @@ def text_statistics(df: DataFrame, text: str, common: dict[str, list[str]]) -> D
     stats = {
         "n_words": n_words.cast("double"),
         "mean_word_length": ratio(F.aggregate("_words", F.lit(0), lambda a, w: a + F.length(w)), n_words),
-        "symbol_ratio": F.when(n_words == 0, F.lit(1.0)).otherwise(ratio(marks - count_of(F.col("_t"), r"[\p{L}\p{M}\p{N}\p{IsHan}]") - count_of(F.col("_t"), TEXT_MARKS), marks)),
-        "digit_ratio": ratio(count_of(F.col("_t"), r"\p{N}"), marks),
+        "symbol_ratio": F.when(n_words == 0, F.lit(1.0)).otherwise(ratio(F.char_length(F.regexp_replace("_t", NO_SYMBOL, "")), marks)),
+        "digit_ratio": ratio(characters_of(F.col("_t"), r"\p{N}"), marks),
         "line_end_share": ratio(F.size("_lines") - F.size("_open"), F.size("_lines")),
         "common_share": ratio(F.coalesce(best["n"], F.lit(0)), n_words),
         "odd_word_share": ratio(odd, n_words),
