@@ -237,7 +237,7 @@ def fit_documents(documents: DataFrame, item: str, text: str, label: str) -> Lan
 SEGMENTS = "array<struct<start:int,end:int,lang:string,confidence:double,sure:boolean>>"
 
 
-def identify(documents: DataFrame, kept: list[str], text: str, model: LanguageModel, margin: float = 0.3) -> DataFrame:
+def identify(documents: DataFrame, kept: list[str], text: str, model: LanguageModel, margin: float = 0.45) -> DataFrame:
     """Columns ``kept`` and ``lang, confidence, languages, segments`` of every document.
 
     A segment is a run of sentences in one language, ``start`` and ``end`` in code points of the stored text.
