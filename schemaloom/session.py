@@ -31,10 +31,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """Use the cluster's shared checkpoint folder; set one only where none is configured (tests)."""
-    if spark.sparkContext.getCheckpointDir() is None:
+    """Use the shared folder that the session names; a folder of its own gets only a local session without one (tests)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("SCHEMALOOM_CHECKPOINTS")
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="schemaloom-"))
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="schemaloom-"))
     return spark
 
 
