@@ -29,13 +29,13 @@ def with_salience(local: DataFrame, background: DataFrame) -> DataFrame:
 def top_terms(scored: DataFrame, stop: DataFrame, ratio: float, min_freq: int) -> DataFrame:
     """The ``int(n * ratio)`` most salient terms, of n in all, that are no stop words; then those of at least ``min_freq``.
 
-    Stop words don't use up the budget. A budget of 0 takes all terms.
+    Stop words don't use up the budget. A budget of 0 takes all terms. The most salient come first.
     """
     budget = int(scored.count() * ratio)
     kept = scored.join(stop.select("term"), "term", "left_anti")
     # The budget is a share of the vocabulary, so the best are numbered in place and not gathered.
     best = ranked(kept, [], [F.desc("salience"), F.col("term")]).where(F.col("rank") <= budget).drop("rank") if budget else kept
-    return best.where(F.col("freq") >= min_freq)
+    return best.where(F.col("freq") >= min_freq).orderBy(F.desc("salience"), "term")
 
 
 def head_of(phrase: Column) -> Column:
