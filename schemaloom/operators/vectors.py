@@ -75,10 +75,10 @@ def rank_biased_overlap(a: Column, b: Column, depth: int) -> Column:
 
 
 def reciprocal_rank_weights(df: DataFrame, key: str, terms: str) -> DataFrame:
-    """``key, term, weight``: the sum of 1 / ln(1 + rank) of a term over a key's ranked lists; a term's first place in a list counts."""
+    """``key, term, rank, weight``: the best rank of a term and the sum of 1 / ln(1 + rank) over a key's ranked lists; a term's first place in a list counts."""
     rows = df.withColumn("_list", F.monotonically_increasing_id()).select(key, "_list", F.posexplode(terms).alias("pos", "term"))
     first = rows.groupBy(key, "_list", "term").agg((F.min("pos") + 1).alias("rank"))
-    return first.groupBy(key, "term").agg(F.sum(1 / F.log1p(F.col("rank"))).alias("weight"))
+    return first.groupBy(key, "term").agg(F.min("rank").alias("rank"), F.sum(1 / F.log1p(F.col("rank"))).alias("weight"))
 
 
 def k_means(df: DataFrame, item: str, vector: str, k: int, seed: int = 1234) -> DataFrame:

@@ -83,12 +83,17 @@ def bootstrap_means(spark: SparkSession, d: str, draws: int = 200) -> DataFrame:
 
 
 def expansion_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Per data set 1 / ln(1 + rank) weights of its most frequent words, ranked within each year-month of arrival."""
-    rows = deliver_once(table(spark, d, "corpus"), "sent_id", ["sent_id", "text", "dataset"])
-    words = rows.select("dataset", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("term"))
-    counted = words.groupBy("dataset", "term").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("dataset").orderBy(F.desc("n"), "term")
-    return counted.withColumn("rank", F.row_number().over(w)).where("rank <= 50").select("dataset", "term", "rank", F.round(1 / F.log1p(F.col("rank")), 6).alias("weight"))
+    """Per data set and word the sum of 1 / ln(1 + rank) over the year-months of arrival; ``rank`` is the word's best one.
+
+    Each month lists its 50 most frequent words, as deep as the reference's lists; records without a time are a list of their own.
+    """
+    rows = deliver_once(table(spark, d, "corpus"), "sent_id", ["sent_id", "text", "dataset", "arrived_at"])
+    words = rows.select("dataset", F.trunc("arrived_at", "month").alias("month"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("term"))
+    counted = words.groupBy("dataset", "month", "term").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("dataset", "month").orderBy(F.desc("n"), "term")
+    top = counted.withColumn("rank", F.row_number().over(w)).where("rank <= 50")
+    lists = top.groupBy("dataset", "month").agg(F.array_sort(F.collect_list(F.struct("rank", "term")))["term"].alias("terms"))
+    return op.reciprocal_rank_weights(lists, "dataset", "terms").select("dataset", "term", "rank", F.round("weight", 6).alias("weight"))
 
 
 QUERIES = {
