@@ -161,16 +161,68 @@ def chinese_whispers(edges: DataFrame, rounds: int = 20) -> DataFrame:
     return labels
 
 
-def shortest_paths(edges: DataFrame, source: str, most: int = 12) -> DataFrame:
-    """``node, hops`` from one node along directed edges ``a, b``, by frontier."""
+def shortest_paths(edges: DataFrame, source: str, most: int | None = None) -> DataFrame:
+    """``node, hops`` of all nodes reached from one node along directed edges ``a, b``, by frontier; ``most`` bounds the hops if given."""
     with_checkpoints(edges.sparkSession)
     edges = edges.select("a", "b").distinct().checkpoint()
     reached = edges.sparkSession.createDataFrame([(source, 0)], "node string, hops int")
-    frontier = reached
-    for hop in range(1, most + 1):
+    frontier, hop = reached, 0
+    while most is None or hop < most:
+        hop += 1
         step = frontier.join(edges, frontier["node"] == edges["a"]).select(F.col("b").alias("node")).distinct().join(reached, "node", "left_anti")
         frontier = step.withColumn("hops", F.lit(hop)).checkpoint()
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
+        if hop % 8 == 0:  # one table again: else every hop adds a part to the plan
+            reached = reached.checkpoint()
     return reached
+
+
+def path_between(links: dict[str, list[str]], source: str, target: str) -> list[str] | None:
+    """A shortest path along ``links`` (a node's next nodes in order); of equal ones that found first."""
+    before, level = {source: None}, [source]
+    while level and target not in before:
+        following = []
+        for x in level:
+            for y in links.get(x, []):
+                if y not in before:
+                    before[y] = x
+                    following.append(y)
+        level = following
+    if target not in before:
+        return None
+    path = [target]
+    while before[path[-1]] is not None:
+        path.append(before[path[-1]])
+    return path[::-1]
+
+
+def labelled_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``graph, a, b, words, deps, deps_n_words``: the labels along the shortest path of each pair, within graphs of a sentence's size.
+
+    ``nodes`` are ``graph, node, label``, directed ``edges`` ``graph, a, b, label``, ``pairs`` ``graph, a, b``. Without a
+    path from a to b the one from b to a counts; without either the labels are empty. Next nodes are tried in order of
+    name; of several labels of a node or an edge the smallest counts, and a node without one stands by its name.
+    """
+    none = F.lit(None).cast("string")
+    parts = [("n", nodes, (F.col("node"), none, F.col("label"))), ("e", edges, (F.col("a"), F.col("b"), F.col("label"))), ("p", pairs.distinct(), (F.col("a"), F.col("b"), none))]
+    of = [df.select("graph", F.lit(k).alias("kind"), *(c.cast("string").alias(n) for c, n in zip(cols, ("a", "b", "label")))) for k, df, cols in parts]
+    rows = of[0].unionByName(of[1]).unionByName(of[2])
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.assign(label=part["label"].fillna("")).sort_values(["a", "b", "label"], ascending=[True, True, False])
+        word = {r.a: r.label for r in part[part["kind"] == "n"].itertuples() if r.label}
+        arcs = {(r.a, r.b): r.label for r in part[(part["kind"] == "e") & part["a"].notna() & part["b"].notna()].itertuples()}
+        links: dict[str, list[str]] = {}
+        for a, b in arcs:
+            links.setdefault(a, []).append(b)
+        out = []
+        for r in part[part["kind"] == "p"].itertuples():
+            path = path_between(links, r.a, r.b) or path_between(links, r.b, r.a) or []
+            steps = [(word.get(x, x), arcs[x, y], word.get(y, y)) for x, y in zip(path, path[1:])]
+            out.append((r.graph, r.a, r.b, "-->".join(s for s, _, _ in steps), "-->".join(t for _, t, _ in steps), ":".join("--".join(s) for s in steps)))
+        return pd.DataFrame(out, columns=["graph", "a", "b", "words", "deps", "deps_n_words"])
+
+    graph = nodes.schema["graph"].dataType.simpleString()
+    return rows.groupBy("graph").applyInPandas(run, f"graph {graph}, a string, b string, words string, deps string, deps_n_words string")
