@@ -106,14 +106,16 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
 def reached_shares(documents: DataFrame, source: str, size: str, targets: DataFrame, mixed: DataFrame) -> DataFrame:
     """Per target source what the mixture holds of it: uses, size, share of the total, and whether the target can be reached.
 
-    The share counts the demand of the last document only as far as it was needed.
+    The share counts the demand of the last document only as far as it was needed. ``ended_size`` is what the source has
+    given after its last use in training order, null if it has none; it is below ``wanted_size`` where the target is missed.
     """
-    given = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_uses"), F.sum("size").cast("bigint").alias("used_size"), F.max("epoch").alias("last_epoch"))
+    last = F.max(F.struct("position", "offset", "size"))
+    given = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_uses"), F.sum("size").cast("bigint").alias("used_size"), (last["offset"] + last["size"]).alias("ended_size"))
     shares = source_shares(documents, source, size, targets).join(given, "source", "left")
     used = F.coalesce(F.col("used_size"), F.lit(0)).cast("bigint")
     return shares.select(
         "source", "target_share", "max_repeats", "own_size", "total_size",
         F.coalesce("n_uses", F.lit(0)).cast("bigint").alias("n_uses"), used.alias("used_size"),
         F.round(F.least(used.cast("double"), F.col("wanted_size")) / F.col("total_size"), 6).alias("reached_share"),
-        (F.col("possible_size") >= F.col("wanted_size")).alias("reachable"),
+        (F.col("possible_size") >= F.col("wanted_size")).alias("reachable"), "wanted_size", "ended_size",
     )

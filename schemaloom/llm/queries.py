@@ -107,7 +107,8 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_packed(spark, d).where("n_pieces > 1 and piece = 0").select("pack_name", "doc_id")
+    """Documents whose first piece has its container and is not the only one."""
+    return p8_packed(spark, d).where("n_pieces > 1 and piece = 0 and bin >= 0").select("pack_name", "doc_id")
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -116,14 +117,20 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.in_training_order(mixed).withColumnRenamed("item", "doc_id")
 
 
-def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+def reached(spark: SparkSession, d: str) -> DataFrame:
     documents, targets = sized_documents(spark, d), table(spark, d, "mix_target")
     mixed = mixing.mixture(documents, "doc_id", "source", "size", targets)
     return mixing.reached_shares(documents, "source", "size", targets, mixed)
 
 
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return reached(spark, d).drop("wanted_size", "ended_size")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return p9_shares(spark, d).where(~F.col("reachable")).select("source")
+    """Sources that the mixture leaves short of their target at the end of the curriculum, and that no mixture could bring there."""
+    short = F.col("ended_size").isNull() | (F.col("ended_size") < F.col("wanted_size"))
+    return reached(spark, d).where(short & ~F.col("reachable")).select("source")
 
 
 def identified(spark: SparkSession, d: str) -> DataFrame:
