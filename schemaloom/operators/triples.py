@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from schemaloom.operators.ranking import ranked
+from schemaloom.session import with_checkpoints
+
 
 def without_pos(word: Column) -> Column:
     """``a#b#NN`` is ``a#b``; a mark at the very start isn't one."""
@@ -89,6 +92,30 @@ def purity_scores(members: DataFrame, gold: DataFrame) -> DataFrame:
     return row.select(F.round(pu, 6).alias("purity"), F.round(ipu, 6).alias("inverse_purity"), F.round(F.try_divide(2 * pu * ipu, pu + ipu), 6).alias("f1"))
 
 
+def purity_bootstrap(members: DataFrame, gold: DataFrame, draws: int = 1000, seed: int = 1337) -> DataFrame:
+    """``draw, purity, inverse_purity, f1``: the scores of ``purity_scores`` over predicted clusters drawn with replacement.
+
+    Each draw takes as many clusters as there are, numbers by hash. An element must be in one cluster a side: the copies
+    of a cluster then share the weight of its elements, so that they count as one.
+    """
+    with_checkpoints(members.sparkSession)
+    joined = members.alias("m").join(gold.alias("g"), F.col("m.element") == F.col("g.element"))
+    overlap = joined.groupBy(F.col("m.cluster").alias("p"), F.col("g.cluster").alias("g")).agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    best = overlap.groupBy("p").agg(F.max("n").alias("best"))
+    sized = members.groupBy(F.col("cluster").alias("p")).agg(F.count(F.lit(1)).alias("size")).join(best, "p", "left")
+    clusters = ranked(sized.withColumn("best", F.when(F.col("size") > 1, F.col("best")).otherwise(0)), [], [F.col("p")]).checkpoint()
+    count, golds = clusters.agg(F.count(F.lit(1))).scalar(), gold.agg(F.count(F.lit(1))).scalar()
+    picks = clusters.select("rank", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    picks = picks.select("draw", (F.pmod(F.xxhash64(F.lit(seed), "draw", "rank"), count) + 1).alias("rank")).distinct()
+    drawn = picks.join(clusters, "rank").select("draw", "p", "size", "best").checkpoint()
+    pu = drawn.groupBy("draw").agg((F.sum(F.coalesce("best", F.lit(0))) / F.sum("size")).alias("purity"))
+    most = drawn.join(overlap, "p").groupBy("draw", "g").agg(F.max("n").alias("n"))
+    ipu = most.groupBy("draw").agg((F.sum("n") / golds).alias("inverse_purity"))
+    rows = pu.join(ipu, "draw", "left").withColumn("inverse_purity", F.coalesce("inverse_purity", F.lit(0.0)))
+    f1 = F.try_divide(2 * F.col("purity") * F.col("inverse_purity"), F.col("purity") + F.col("inverse_purity"))
+    return rows.select("draw", F.round("purity", 6).alias("purity"), F.round("inverse_purity", 6).alias("inverse_purity"), F.round(f1, 6).alias("f1"))
+
+
 def inverted_weights(edges: DataFrame) -> DataFrame:
     """Similarities as distances: the greatest weight over each weight; null where a weight is 0."""
     return edges.withColumn("w", F.try_divide(edges.agg(F.max("w")).scalar(), F.col("w")))

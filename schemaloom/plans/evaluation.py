@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from schemaloom.operators import metrics
+from schemaloom.operators import metrics, triples
 from schemaloom.operators import vectors as op
+from schemaloom.plans.triples import frame_clusters
 from schemaloom.session import deliver_once, table
 
 
@@ -82,6 +83,11 @@ def bootstrap_means(spark: SparkSession, d: str, draws: int = 200) -> DataFrame:
     return means.groupBy("dataset").agg(F.avg("mean").alias("mean"), F.stddev_pop("mean").alias("std"), F.count(F.lit(1)).alias("draws"))
 
 
+def bootstrap_f1(spark: SparkSession, d: str) -> DataFrame:
+    """F1 of frames_purity in each of the reference's 1000 draws of the predicted clusters."""
+    return triples.purity_bootstrap(*frame_clusters(spark, d)).select("draw", "f1")
+
+
 def expansion_weights(spark: SparkSession, d: str) -> DataFrame:
     """Per data set and word the sum of 1 / ln(1 + rank) over the year-months of arrival; ``rank`` is the word's best one.
 
@@ -106,7 +112,8 @@ QUERIES = {
     "metrics_rater_agreement": rater_agreement,
     "metrics_majority": majority_votes,
     "metrics_agreement_classes": agreement_classes,
-    "metrics_bootstrap": bootstrap_means,
+    "metrics_bootstrap": bootstrap_f1,
+    "metrics_bootstrap_means": bootstrap_means,
     "stats_expansion_weights": expansion_weights,
 }
 

@@ -82,8 +82,12 @@ def telling_frames(spark: SparkSession, d: str) -> DataFrame:
 
 def frame_purity(spark: SparkSession, d: str) -> DataFrame:
     """Objects clustered by predicate, measured against objects clustered by subject."""
+    return op.purity_scores(*frame_clusters(spark, d))
+
+
+def frame_clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = weighted(spark, d).withColumn("element", F.concat_ws("|", *PLACES))
-    return op.purity_scores(rows.select(F.col("predicate").alias("cluster"), "element"), rows.select(F.col("subject").alias("cluster"), "element"))
+    return rows.select(F.col("predicate").alias("cluster"), "element"), rows.select(F.col("subject").alias("cluster"), "element")
 
 
 def event_edges(spark: SparkSession, d: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Queries on tables made for what the generated ones do not have."""
 
+import itertools
 import math
+from collections import Counter
 from datetime import datetime
 
 import pytest
 
-from schemaloom.operators import vectors
+from schemaloom.operators import triples, vectors
 from schemaloom.plans import evaluation
 
 CORPUS = "sent_id long, text string, dataset string, arrived_at timestamp_ntz"
@@ -29,3 +31,25 @@ def test_expansion_weights_by_month(spark, tmp_path):
     assert got["x", "rare"] == (1, one)  # of no rank among the data set's 50 words; its second delivery does not count
     assert got["x", often[1]] == (1, pytest.approx(1 / math.log(2) + 1 / math.log(3), abs=1e-6)) and got["y", often[1]] == (1, one)
     assert got["x", often[49]] == (50, pytest.approx(1 / math.log(51), abs=1e-6)) and len(got) == 52
+
+
+def test_bootstrap_f1(spark):
+    """Each draw is some choice with replacement, and the draws spread over the choices as often as they should."""
+    rows = [("p1", "a", "g1"), ("p1", "b", "g1"), ("p1", "c", "g2"), ("p2", "d", "g2"), ("p2", "e", "g2"), ("p3", "f", "g3")]
+    df = spark.createDataFrame(rows, "p string, element string, g string")
+    got = triples.purity_bootstrap(df.selectExpr("p as cluster", "element"), df.selectExpr("g as cluster", "element")).collect()
+    assert sorted(r["draw"] for r in got) == list(range(1, 1001))
+    scores = {}
+    for choice in itertools.product(["p1", "p2", "p3"], repeat=3):
+        mine = [r for r in rows if r[0] in choice]
+        n = Counter((p, g) for p, _, g in mine)
+        size = Counter(p for p, _, _ in mine)
+        pu = sum(max(k for (q, _), k in n.items() if q == p) for p in size if size[p] > 1) / len(mine)
+        ipu = sum(max(k for (_, h), k in n.items() if h == g) for g in {g for _, g in n}) / len(rows)
+        scores[choice] = (round(pu, 6), round(ipu, 6), round(2 * pu * ipu / (pu + ipu), 6) if pu + ipu else None)
+    share, seen = Counter(scores.values()), Counter((r["purity"], r["inverse_purity"], r["f1"]) for r in got)
+    assert seen.keys() == share.keys() and all(abs(seen[k] / 1000 - n / 27) < 0.06 for k, n in share.items())
+
+
+def test_bootstrap_is_of_f1(spark, small):
+    assert evaluation.QUERIES["metrics_bootstrap"](spark, small).where("f1 between 0 and 1").count() == 1000
