@@ -34,7 +34,7 @@ CHUNK_CHARS = 200_000
 KEY_BITS = 42
 
 # Opening and closing quotation marks.
-QUOTED = re.compile("\"[^\"\n]{1,200}\"|“[^“”\n]{1,200}”|„[^„“”\n]{1,200}[“”]|«[^«»\n]{1,200}»|「[^「」\n]{1,200}」|『[^『』\n]{1,200}』")
+QUOTED = re.compile("\"[^\"\n]+\"|“[^“”\n]+”|„[^„“”\n]+[“”]|«[^«»\n]+»|「[^「」\n]+」|『[^『』\n]+』")
 # A full stop after fewer than four letters may belong to an abbreviation, so it parts nothing here.
 BREAK = re.compile(r"\n+|(?:(?<=[!?…।॥])|(?<=[^\W\d_]{4}\.)|(?<=\d{4}\.)|(?<=\.[\"”’»]))[\"”’»)]*\s+(?![a-zà-ÿа-я])|(?<=[。！？])[”」』）\"]*\s*")
 ENDS = ".!?…。！？।"

@@ -2,7 +2,8 @@
 
 import pytest
 
-from schemaloom.llm.sentences import learn
+from schemaloom.llm.langid import units_of
+from schemaloom.llm.sentences import Lexicon, Splitter, learn
 
 
 @pytest.mark.parametrize("times", [1, 10])
@@ -10,3 +11,23 @@ def test_a_stray_first_use_takes_no_name_out(spark, times):
     lines = ["we met on Friday in town"] * 100 + ["Friday was cold"] + ["so said Judge in court"] * 40 + ["Judge it"] * 20
     names = learn(spark.createDataFrame([(x,) for x in lines * times], "text string")).never_first
     assert "Friday" in names and "Judge" not in names
+
+
+@pytest.mark.parametrize("opening, close", ["“”", "「」", "『』"])
+def test_a_quotation_of_any_length_is_one_unit(opening, close):
+    inside = "这是第一句。" + "很长的话" * 150 + "。"
+    text = f"{opening}{inside}{close}埃福布说。工会表示新预算。"
+    ends = Splitter(Lexicon()).ends(text)
+    assert [text[a:b] for a, b in zip([0, *ends], ends)] == [f"{opening}{inside}{close}埃福布说。", "工会表示新预算。"]
+
+
+def test_a_quotation_ends_with_its_own_mark_on_its_own_line():
+    later = "「开头没有结尾。" + "很长的话" * 100 + "。"
+    parts = lambda text: len(Splitter(Lexicon()).ends(text))
+    assert parts(later + "他说「好」。") == 3 and parts(later + "\n好」。") == 3
+
+
+@pytest.mark.parametrize("pair", ["“”", "„“", "«»", "「」", "『』", '""'])
+def test_languages_of_a_long_quotation_do_not_count(pair):
+    text = f"He said {pair[0]}{'palabras sin fin ' * 30}{pair[1]} and went home"
+    assert "palabras" not in "".join(words for _, _, words in units_of(text))
