@@ -116,6 +116,26 @@ def purity_bootstrap(members: DataFrame, gold: DataFrame, draws: int = 1000, see
     return rows.select("draw", F.round("purity", 6).alias("purity"), F.round("inverse_purity", 6).alias("inverse_purity"), F.round(f1, 6).alias("f1"))
 
 
+def sharing_two(triples: DataFrame, item: str, fields: list[str]) -> DataFrame:
+    """``a, b``: each pair of items (``a < b``) once whose triples agree in at least two of the three ``fields``; nulls count as empty, as in the reference."""
+    rows = triples.select(F.col(item).alias("item"), *(F.coalesce(F.col(c), F.lit("")).alias(f"_{i}") for i, c in enumerate(fields)))
+    pairs = None
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        keys = [f"_{i}", f"_{j}"]
+        found = rows.withColumnRenamed("item", "a").join(rows.withColumnRenamed("item", "b"), keys).where("a < b").select("a", "b")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    return pairs.distinct()
+
+
+def overlapping_entities(objects: DataFrame, entities: DataFrame, key: str) -> DataFrame:
+    """Rows of ``objects`` (``key, idx``) with each row of ``entities`` (``key, start, end``) whose [start, end) holds the first or the last index."""
+    o, e = objects.alias("o"), entities.alias("e")
+    holds = lambda at: (at >= F.col("e.start")) & (at < F.col("e.end"))
+    first, last = F.try_element_at(F.col("o.idx"), F.lit(1)), F.try_element_at(F.col("o.idx"), F.lit(-1))
+    rest = [F.col(f"e.{c}") for c in entities.columns if c != key]
+    return o.join(e, (F.col(f"o.{key}") == F.col(f"e.{key}")) & (holds(first) | holds(last))).select("o.*", *rest)
+
+
 def inverted_weights(edges: DataFrame) -> DataFrame:
     """Similarities as distances: the greatest weight over each weight; null where a weight is 0."""
     return edges.withColumn("w", F.try_divide(edges.agg(F.max("w")).scalar(), F.col("w")))
