@@ -19,19 +19,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from schemaloom.llm.codepoints import to_codepoints, to_text
+from schemaloom.session import with_checkpoints
 
 # Look-alike letters and the Latin letter each is drawn like, by script.
 LOOKALIKES = {
-    "АВЕЅІЈКМНОРСТХУԚԜҮ": "ABESIJKMHOPCTXYQWY",  # Cyrillic capitals
-    "асеһіјорѕухԁԛԝѵү": "acehijopsyxdqwvy",  # Cyrillic small letters
-    "ӏӀ": "lI",
-    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ": "ABEZHIKMNOPTYX",  # Greek capitals
-    "ονϲϳ": "ovcj",  # Greek small letters
-    "օ": "o",  # Armenian
-    "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃᎡ": "ABCDEGHJKLMPSTVWZR",  # Cherokee
-    "ɑɡ": "ag",  # Latin variants
-    "‐‑": "--",  # hyphens
+    "cyrillic": {"АВЕЅІЈКМНОРСТХУԚԜҮӀ": "ABESIJKMHOPCTXYQWYI", "асеһіјорѕухԁԛԝѵүӏ": "acehijopsyxdqwvyl"},
+    "greek": {"ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ": "ABEZHIKMNOPTYX", "ονϲϳ": "ovcj"},
+    "armenian": {"օ": "o"},
+    "cherokee": {"ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃᎡ": "ABCDEGHJKLMPSTVWZR"},
 }
+# Latin variants and hyphens, which become the common one everywhere.
+VARIANTS = {"ɑɡ": "ag", "‐‑": "--"}
+# Blocks of the scripts above, Latin first.
+BLOCKS = {
+    "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF)], "cyrillic": [(0x400, 0x52F)], "greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)],
+    "armenian": [(0x531, 0x587)], "cherokee": [(0x13A0, 0x13FD), (0xAB70, 0xABBF)],
+}
 # Decompositions that change only width or presentation.
 FORMS = {"<wide>", "<narrow>", "<small>", "<vertical>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>"}
 # Code points whose <compat> decomposition is drawn alike: ligatures, radicals, digraphs, Roman numerals.
@@ -51,7 +54,7 @@ def tables(canonical_only: bool = False) -> dict[str, np.ndarray]:
 
     ``canonical_only`` leaves out everything but canonical decomposition: the result is then NFC.
     """
-    alike = {} if canonical_only else {a: b for k, v in LOOKALIKES.items() for a, b in zip(k, v, strict=True)}
+    alike = {} if canonical_only else {a: b for k, v in VARIANTS.items() for a, b in zip(k, v, strict=True)}
     compat = {c for a, b in ALIKE_COMPAT for c in range(a, b + 1)}
 
     def decompose(c: int) -> list[int]:
@@ -92,9 +95,7 @@ def tables(canonical_only: bool = False) -> dict[str, np.ndarray]:
         if len(said) != 2 or said[0].startswith("<") or unicodedata.normalize("NFC", chr(c)) != chr(c):
             continue
         base, mark = chr(int(said[0], 16)), int(said[1], 16)
-        key = ord(alike.get(base, base)) << 21 | mark
-        if base not in alike or key not in pairs:  # a Latin letter's own composition goes first
-            pairs[key] = c
+        pairs[ord(base) << 21 | mark] = c
     keys = np.array(sorted(pairs), np.int64)
     composed = np.array([pairs[k] for k in keys.tolist()], np.uint32)
     return {
@@ -104,6 +105,56 @@ def tables(canonical_only: bool = False) -> dict[str, np.ndarray]:
     }
 
 
+@lru_cache(maxsize=1)
+def script_tables() -> dict[str, np.ndarray]:
+    """``latin``: the Latin look-alike of a letter; ``script``: 0 no letter of BLOCKS, 1 drawn like letters of several
+    scripts, 2 Latin alone, 3 and on the others; ``own``: by script and Latin letter, the letter drawn alike."""
+    size = sys.maxunicode + 1
+    latin, script = np.arange(size, dtype=np.uint32), np.zeros(size, np.uint8)
+    own = np.tile(np.arange(0x250, dtype=np.uint32), (len(BLOCKS) + 2, 1))
+    for i, (name, blocks) in enumerate(BLOCKS.items(), 2):
+        for c in (c for a, b in blocks for c in range(a, b + 1) if unicodedata.category(chr(c))[0] == "L"):
+            script[c] = i
+        for letters, drawn in LOOKALIKES.get(name, {}).items():
+            for a, b in zip(letters, drawn, strict=True):
+                latin[ord(a)] = ord(b)
+                if own[i, ord(b)] == ord(b):
+                    own[i, ord(b)] = ord(a)
+    script[np.unique(latin[script > 2])[np.unique(latin[script > 2]) < 0x250]] = 1
+    return {"latin": latin, "script": script, "own": own}
+
+
+def one_script_a_word(points: np.ndarray, offsets: np.ndarray, ccc: np.ndarray) -> np.ndarray:
+    """Decomposed code points with the look-alike letters of each word in one script.
+
+    The script of a word is that of its letters that only one script has (Latin, if it has some); a word of
+    look-alike letters alone takes the script that most of its text's other letters have, Latin if there is
+    none. What looks the same has the same unmistakable letters, so it becomes the same.
+    """
+    t = script_tables()
+    if not (t["script"][points] > 2).any():
+        return points
+    drawn = t["latin"][points]
+    script = t["script"][drawn]
+    row_start = np.zeros(len(points) + 1, bool)
+    row_start[offsets] = True
+    inside = (script > 0) | (ccc > 0)
+    word = np.cumsum(~inside | row_start[:-1])
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    n = len(BLOCKS)
+    sure = np.flatnonzero(script > 1)
+    kind = script[sure].astype(np.int64) - 2
+    by_word = np.bincount(word[sure] * n + kind, minlength=(int(word[-1]) + 1) * n).reshape(-1, n)
+    by_row = np.bincount(row[sure] * n + kind, minlength=(len(offsets) - 1) * n).reshape(-1, n)
+    of_word = np.where(by_word[:, 0] > 0, 0, by_word.argmax(axis=1))
+    open_word = by_word.sum(axis=1) == 0
+    at = np.flatnonzero(script == 1)
+    chosen = np.where(open_word[word[at]], by_row.argmax(axis=1)[row[at]], of_word[word[at]])
+    drawn = drawn.copy()
+    drawn[at] = t["own"][chosen + 2, drawn[at]]
+    return drawn
+
+
 def lookup_pairs(t: dict[str, np.ndarray], base: np.ndarray, mark: np.ndarray) -> np.ndarray:
     """The composed character of each pair, 0 where there is none."""
     key = (base.astype(np.int64) << 21) | mark
@@ -125,6 +176,8 @@ def canonical_points(points: np.ndarray, offsets: np.ndarray, canonical_only: bo
     points = t["flat"][shift + np.arange(ends[-1])]
     offsets = ends[offsets]
     ccc = t["ccc"][points]
+    if not canonical_only and len(points):
+        points = one_script_a_word(points, offsets, ccc)
     marks = ccc > 0
     row_start = np.zeros(len(points) + 1, bool)
     row_start[offsets] = True
@@ -181,9 +234,11 @@ def canonical_array(text: pa.Array, canonical_only: bool = False) -> pa.Array:
 def canonical(df: DataFrame, text: str, out: str = "canonical") -> DataFrame:
     """``df`` with the consistent form of ``text`` in ``out``.
 
-    Unified: width and presentation forms, kinds of blank (tab too), look-alike letters, order and composition
-    of marks; characters without a width go. Kept: case, visible accents, raised digits, the number of blanks,
-    line breaks. Null stays null, empty stays empty; rows aren't merged. A column named ``out`` is replaced.
+    Unified: width and presentation forms, kinds of blank (tab too), order and composition of marks, and
+    look-alike letters, which take the script of their word (``one_script_a_word``): a Cyrillic word stays
+    Cyrillic. Characters without a width go. Kept: case, visible accents, raised digits, the number of blanks,
+    line breaks. Texts look the same exactly if their forms are equal. Null stays null, empty stays empty; rows
+    aren't merged. A column named ``out`` is replaced.
     """
     kept = [c for c in df.columns if c != out]
     narrow = df.select(*(F.col(f"`{c}`") for c in kept))
@@ -197,17 +252,43 @@ def canonical(df: DataFrame, text: str, out: str = "canonical") -> DataFrame:
     return narrow.mapInArrow(run, schema)
 
 
+def spellings(df: DataFrame, record: str, text: str) -> DataFrame:
+    """``id, form, spelling`` of the records in classes of several spellings: digests of the look of a text and of the text.
+
+    One pass makes the digests, which are written to the checkpoint folder and read from there. Null texts are left out.
+    """
+    with_checkpoints(df.sparkSession)
+    forms = canonical(df.select(F.col(record).alias("id"), F.col(text).alias("text")).where("text is not null"), "text")
+    keyed = forms.select("id", F.unhex(F.md5("canonical")).alias("form"), F.unhex(F.md5("text")).alias("spelling")).distinct().checkpoint()
+    # Two numbers a form, combined in each task before the shuffle: a form that most records have costs no more.
+    several = keyed.groupBy("form").agg(F.min("spelling").alias("_a"), F.max("spelling").alias("_b")).where("_a <> _b").select("form")
+    return keyed.join(several, "form", "left_semi")
+
+
+def lookalike_classes(df: DataFrame, record: str, text: str) -> DataFrame:
+    """``id, class_id, spelling_id, n_links`` of every record that looks like one with another text.
+
+    ``class_id`` is the smallest id of records that look the same, ``spelling_id`` that of records with the same
+    text, ``n_links`` the number of records in the class with another text. Each ``record`` must be there once.
+    """
+    rows = spellings(df, record, text)
+    each = rows.groupBy("form", "spelling").agg(F.min("id").alias("spelling_id"), F.count(F.lit(1)).alias("n"))
+    whole = each.groupBy("form").agg(F.min("spelling_id").alias("class_id"), F.sum("n").alias("n_all"))
+    numbered = each.join(whole, "form").select("form", "spelling", "spelling_id", "class_id", (F.col("n_all") - F.col("n")).alias("n_links"))
+    return rows.join(numbered, ["form", "spelling"]).select("id", "class_id", "spelling_id", "n_links")
+
+
 def lookalike_pairs(df: DataFrame, record: str, text: str) -> DataFrame:
-    """Pairs ``id_a < id_b`` of records with different texts of one consistent form.
+    """Pairs ``id_a < id_b`` of records with different texts that look the same.
 
-    Each ``record`` must be there once. Texts are compared by 128-bit digests of text and form. Only forms
+    Each ``record`` must be there once. Texts are compared by 128-bit digests of text and look. Only looks
     with more than one spelling go on, and spellings are paired before records, so that equal texts, however
-    often they are repeated, are never matched with each other. Null texts have no partners.
+    often they are repeated, are never matched with each other. Null texts have no partners. Where all pairs are
+    not wanted, ``lookalike_classes`` says the same in one row a record.
     """
-    forms = canonical(df.select(F.col(record).alias("id"), F.col(text).alias("text")).where("text is not null"), "text")
-    keyed = forms.select("id", F.unhex(F.md5("canonical")).alias("form"), F.unhex(F.md5("text")).alias("spelling"))
-    spellings = keyed.select("form", "spelling").distinct()
-    pairs = spellings.alias("a").join(spellings.alias("b"), (F.col("a.form") == F.col("b.form")) & (F.col("a.spelling") < F.col("b.spelling")))
+    keyed = spellings(df, record, text)
+    kinds = keyed.select("form", "spelling").distinct()
+    pairs = kinds.alias("a").join(kinds.alias("b"), (F.col("a.form") == F.col("b.form")) & (F.col("a.spelling") < F.col("b.spelling")))
     pairs = pairs.select(F.col("a.form").alias("form"), F.col("a.spelling").alias("one"), F.col("b.spelling").alias("two"))
     left = keyed.select("form", F.col("spelling").alias("one"), F.col("id").alias("x"))
     right = keyed.select("form", F.col("spelling").alias("two"), F.col("id").alias("y"))

@@ -2,7 +2,8 @@
 
 Each source has a weight schedule over training time 0 to 1, piecewise linear. Its integral is the share of the
 budget the source has given by a time; inverting it at a document's cumulative size gives the document's
-training position. Documents are then range-sorted by position.
+training position. Documents are then range-sorted by position. Where no schedules are given, sources that must
+be repeated come late and the plentiful ones early.
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALT_BITS = 12
-# Default schedule: knots of (time, weight relative to the source's share); each averages 1 over the time.
+# Parts of a source are the first so many hexadecimal digits of its documents' hashes.
+SALT_DIGITS = 3
+# Schedules: knots of (time, weight relative to the source's share); each averages 1 over the time.
 FLAT = ((0.0, 1.0), (1.0, 1.0))
 EARLY = ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5))
 LATE = ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5))
-DEFAULT_SCHEDULES = {"newswire_a": EARLY, "forum": EARLY, "encyclopedia": LATE, "annotated": LATE}
 
 
 def source_name(source: Column) -> Column:
@@ -72,15 +73,16 @@ def mixture(documents: DataFrame, item: str, source: str, size: str, targets: Da
 
     Documents of a source follow in random order (by hash of ``item``), epoch after epoch, until the source's
     demand is met: the document during which it is met is the last. ``position`` in [0, 1) is the training time
-    at which the document is due by its source's schedule. Each ``item`` must be there once; documents of
-    sources without a target, and those of size 0, aren't used. A source with most rows is summed in
-    2^SALT_BITS parts, whose offsets come from a table of as many rows a source.
+    at which the document is due by its source's schedule. ``schedules`` maps names of sources to knots; sources
+    without an entry are FLAT. Without ``schedules`` a source whose demand exceeds its own size is LATE, any other
+    EARLY. Each ``item`` must be there once; documents of sources without a target, and those of size 0, aren't
+    used. A source with most rows is summed in 16^SALT_DIGITS parts, whose offsets come from a table of as many
+    rows a source.
     """
-    schedules = DEFAULT_SCHEDULES if schedules is None else schedules
     rows = documents.select(F.col(item).alias("item"), source_name(F.col(source)).alias("source"), F.col(size).cast("bigint").alias("size"))
-    rows = rows.where("source is not null and size > 0").withColumn("_order", F.xxhash64(F.lit(seed), "item"))
+    rows = rows.where("source is not null and size > 0").withColumn("_order", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("item").cast("string"))))
     # Parts are ranges of the hash, so that part by part and within a part the order is the order of the hash.
-    rows = rows.withColumn("_salt", (F.shiftright("_order", 64 - SALT_BITS) + (1 << (SALT_BITS - 1))).cast("int"))
+    rows = rows.withColumn("_salt", F.substring("_order", 1, SALT_DIGITS))
     shares = source_shares(documents, source, size, targets).select("source", "own_size", "demand")
     sums = rows.groupBy("source", "_salt").agg(F.sum("size").alias("part"))
     earlier = Window.partitionBy("source").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,9 +94,12 @@ def mixture(documents: DataFrame, item: str, source: str, size: str, targets: Da
     used = placed.select("item", "source", "size", "own_size", "demand", "_start", F.explode(F.sequence(F.lit(0), last_epoch)).alias("epoch"))
     used = used.withColumn("offset", F.col("_start") + F.col("epoch").cast("bigint") * F.col("own_size"))
     fraction = F.col("offset") / F.col("demand")
-    position = position_at(fraction, integrated(FLAT))
-    for name, knots in sorted(schedules.items()):
-        position = F.when(F.col("source") == name, position_at(fraction, integrated(knots))).otherwise(position)
+    if schedules is None:
+        position = F.when(F.col("demand") > F.col("own_size"), position_at(fraction, integrated(LATE))).otherwise(position_at(fraction, integrated(EARLY)))
+    else:
+        position = position_at(fraction, integrated(FLAT))
+        for name, knots in sorted(schedules.items()):
+            position = F.when(F.col("source") == name, position_at(fraction, integrated(knots))).otherwise(position)
     return used.select("item", "source", "epoch", "size", "offset", position.alias("position"))
 
 
@@ -104,18 +109,22 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
 
 
 def reached_shares(documents: DataFrame, source: str, size: str, targets: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Per target source what the mixture holds of it: uses, size, share of the total, and whether the target can be reached.
+    """Per target source what the mixture holds of it: uses, size, its share, and whether the target can be reached.
 
-    The share counts the demand of the last document only as far as it was needed. ``ended_size`` is what the source has
-    given after its last use in training order, null if it has none; it is below ``wanted_size`` where the target is missed.
+    ``reached_share`` is the source's share of the mixture as it is (null if the mixture is empty), ``share_of_total``
+    its used size over the size of all rows, which ``target_share`` refers to. ``ended_size`` is what the source has
+    given after its last use in training order, null if it has none; it is below ``wanted_size`` where the target is
+    missed.
     """
     last = F.max(F.struct("position", "offset", "size"))
     given = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_uses"), F.sum("size").cast("bigint").alias("used_size"), (last["offset"] + last["size"]).alias("ended_size"))
     shares = source_shares(documents, source, size, targets).join(given, "source", "left")
     used = F.coalesce(F.col("used_size"), F.lit(0)).cast("bigint")
+    # One row a target source, so the window over all of them is small.
+    everything = F.sum("used_size").over(Window.partitionBy(F.lit(0)))
     return shares.select(
         "source", "target_share", "max_repeats", "own_size", "total_size",
         F.coalesce("n_uses", F.lit(0)).cast("bigint").alias("n_uses"), used.alias("used_size"),
-        F.round(F.least(used.cast("double"), F.col("wanted_size")) / F.col("total_size"), 6).alias("reached_share"),
+        F.round(F.try_divide(used, everything), 6).alias("reached_share"), F.round(F.try_divide(used, F.col("total_size")), 6).alias("share_of_total"),
         (F.col("possible_size") >= F.col("wanted_size")).alias("reachable"), "wanted_size", "ended_size",
     )

@@ -111,13 +111,14 @@ def pack(items: DataFrame, item: str, size: str, spec: DataFrame) -> tuple[DataF
     # A group is the histogram of one kind of container: at most capacity + 1 rows.
     plan = histogram.groupBy("pack_name", "capacity").applyInPandas(planned, PLAN)
     parts = Window.partitionBy("pack_name", "capacity", "length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("pack_name", "capacity", "length", "salt", F.coalesce(F.sum("n").over(parts), F.lit(0)).alias("offset"))
+    offsets = counts.select("pack_name", "capacity", "length", "salt", "n", F.coalesce(F.sum("n").over(parts), F.lit(0)).alias("offset"))
     place = Window.partitionBy("pack_name", "capacity", "length", "salt").orderBy("item", "piece")
     local = pieces.withColumn("local", F.row_number().over(place) - 1)
-    ranked = local.join(offsets, ["pack_name", "capacity", "length", "salt"]).withColumn("rank", F.col("offset") + F.col("local"))
-    # Few plan rows share a length; the range condition picks the one that holds the rank.
-    by_length = plan.groupBy("pack_name", "capacity", "length").agg(F.sort_array(F.collect_list(F.struct("rank_from", "rank_to", "per_bin", "bin_from"))).alias("steps"))
-    placed = ranked.join(by_length, ["pack_name", "capacity", "length"])
+    # Each part of a length takes the steps that its ranks fall into, so items meet only those, and by salted keys.
+    steps = plan.groupBy("pack_name", "capacity", "length").agg(F.sort_array(F.collect_list(F.struct("rank_from", "rank_to", "per_bin", "bin_from"))).alias("steps"))
+    own = F.filter("steps", lambda s: (s["rank_from"] < F.col("offset") + F.col("n")) & (s["rank_to"] > F.col("offset")))
+    parts_of = offsets.join(steps, ["pack_name", "capacity", "length"]).select("pack_name", "capacity", "length", "salt", "offset", own.alias("steps"))
+    placed = local.join(parts_of, ["pack_name", "capacity", "length", "salt"]).withColumn("rank", F.col("offset") + F.col("local"))
     step = F.filter("steps", lambda s: (s["rank_from"] <= F.col("rank")) & (F.col("rank") < s["rank_to"]))[0]
     placed = placed.withColumn("step", step)
     into = F.when(F.col("step.per_bin") > 0, F.col("step.bin_from") + F.floor((F.col("rank") - F.col("step.rank_from")) / F.col("step.per_bin"))).otherwise(

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm.canonical import canonical, lookalike_pairs
+from schemaloom.llm.canonical import canonical, lookalike_classes, lookalike_pairs
 from schemaloom.functions.svo import triples_once
 from schemaloom.llm import langid, mixing, packing, sentences, termfreq
+from schemaloom.operators.range_runs import combine_map_side
 from schemaloom.llm.quality import TAILS, text_quality
-from schemaloom.llm.reservoir import reservoir_sample
+from schemaloom.llm.reservoir import rows_of_sample, sample_records
 from schemaloom.session import deliver_once, spread, table
 
 
@@ -39,12 +40,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_ends(p4_texts(spark, d), ["src", "rec_id"], "text", sentences.learn(every.where("text is not null")))
 
 
+def corpus_texts(spark: SparkSession, d: str) -> DataFrame:
+    """``sent_id, text`` of every record once; of deliveries that differ, the one whose text's digest sorts first."""
+    rows = table(spark, d, "corpus").select("sent_id", F.md5("text").alias("_digest"), "text")
+    return deliver_once(rows, "sent_id", ["_digest", "sent_id", "text"]).drop("_digest")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    once = deliver_once(table(spark, d, "corpus"), "sent_id", ["sent_id", "text"])
-    pairs = lookalike_pairs(once.where("sent_id is not null"), "sent_id", "text")
+    pairs = lookalike_pairs(corpus_texts(spark, d).where("sent_id is not null"), "sent_id", "text")
     return pairs.select(F.col("id_a").alias("sent_id_a"), F.col("id_b").alias("sent_id_b"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row a record that has a look-alike: its class, its spelling and its number of partners."""
+    return lookalike_classes(corpus_texts(spark, d).where("sent_id is not null"), "sent_id", "text").withColumnRenamed("id", "sent_id")
+
+
 def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Every record with the consistent form of its text."""
     return canonical(table(spark, d, "corpus").select("sent_id", "text"), "text")
@@ -54,20 +65,22 @@ def p6_sample(spark: SparkSession, d: str, size: int = 1000) -> DataFrame:
     """``size`` records of each collection, every record (sent_id) with the same chance."""
 
     def drawn(name: str, seed: int) -> DataFrame:
-        once = deliver_once(table(spark, d, name), "sent_id", ["sent_id", "text", "piece_no"])
-        return reservoir_sample(once, "sent_id", size, seed).select(F.lit(name).alias("src"), "sent_id", "piece_no", "text", "n_population")
+        rows = table(spark, d, name).select("sent_id", "text", "piece_no")
+        found = rows_of_sample(rows, "sent_id", sample_records(rows, "sent_id", size, seed))
+        return deliver_once(found, "sent_id", ["sent_id", "text", "piece_no", "n_population"]).select(F.lit(name).alias("src"), "sent_id", "piece_no", "text", "n_population")
 
     return drawn("enwiki", 17).unionByName(drawn("corpus", 18))
 
 
 def enwiki_terms(spark: SparkSession, d: str) -> DataFrame:
     once = deliver_once(table(spark, d, "enwiki"), "sent_id", ["sent_id", "text"]).where("sent_id is not null")
-    return termfreq.long_record_terms(once.select("sent_id", termfreq.words_of(F.col("text")).alias("terms")), "sent_id", "terms")
+    words = once.select("sent_id", F.explode(termfreq.words_of(F.col("text"))).alias("term"))
+    return combine_map_side(words, "term", "sent_id")
 
 
 def lemma_terms(spark: SparkSession, d: str) -> DataFrame:
     rows = triples_once(table(spark, d, "corpus_parsed_svo")).where("lemma is not null and sent_id is not null")
-    return rows.select(F.col("lemma").alias("key"), F.col("sent_id").cast("bigint").alias("value"), F.lit(0).cast("bigint").alias("piece"), F.lit(1).cast("bigint").alias("n"))
+    return combine_map_side(rows.select("lemma", F.col("sent_id").cast("bigint").alias("sent_id")), "lemma", "sent_id")
 
 
 def p7_frequencies(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +127,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     """The mixture in training order."""
     mixed = mixing.mixture(sized_documents(spark, d), "doc_id", "source", "size", table(spark, d, "mix_target"))
-    return mixing.in_training_order(mixed).withColumnRenamed("item", "doc_id")
+    return mixing.in_training_order(mixed).withColumn("position", F.round("position", 9)).withColumnRenamed("item", "doc_id")
 
 
 def reached(spark: SparkSession, d: str) -> DataFrame:
@@ -162,6 +175,7 @@ QUERIES = {
     "p2_quality": p2_quality,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p5_classes": p5_classes,
     "p5_canonical": p5_canonical,
     "p6_sample": p6_sample,
     "p7_found": p7_found,
@@ -195,7 +209,30 @@ WITH doc AS (SELECT doc_id, lower(regexp_replace(source, '^{B}+|{B}+$', '', 'g')
              FROM (SELECT DISTINCT doc_id, source, text FROM documents))
 """
 
+_MIX = (
+    _SIZES
+    + rf""", own AS (SELECT source, sum(size)::BIGINT AS own_size FROM doc WHERE source IS NOT NULL GROUP BY source), tot AS (SELECT sum(size)::BIGINT AS total_size FROM doc),
+tgt AS (SELECT lower(regexp_replace(source, '^{B}+|{B}+$', '', 'g')) AS source, max(target_share) AS target_share, max(max_repeats) AS max_repeats FROM mix_target WHERE source IS NOT NULL GROUP BY 1),
+share AS (SELECT source, target_share, max_repeats, coalesce(own_size, 0)::BIGINT AS own_size, total_size, coalesce(target_share, 0) * total_size AS wanted,
+  (coalesce(max_repeats, 0) * coalesce(own_size, 0))::BIGINT AS possible FROM tgt LEFT JOIN own USING (source) CROSS JOIN tot),
+begun AS (SELECT doc_id, source, size, own_size, least(wanted, possible::DOUBLE) AS demand,
+  coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('5-' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM doc JOIN share USING (source) WHERE size > 0),
+use AS (SELECT *, unnest(range(0, ceil((demand - start) / own_size)::BIGINT)) AS epoch FROM begun WHERE start < demand),
+due AS (SELECT *, start + epoch * own_size AS offs, (start + epoch * own_size) / demand AS f, demand > own_size AS late FROM use),
+mixed AS (SELECT doc_id, source, epoch::INT AS epoch, size::BIGINT AS size, offs AS "offset", round(CASE
+  WHEN late AND f < 0.375 THEN sqrt(0.25 + 2 * f) - 0.5 WHEN late THEN 0.5 + sqrt(1.0 + 2 * (f - 0.375)) - 1.0
+  WHEN f < 0.625 THEN 1.5 - sqrt(2.25 - 2 * f) ELSE 0.5 + 1.0 - sqrt(1.0 - 2 * (f - 0.625)) END, 9) AS position FROM due)
+"""
+)
+
 SQL: dict[str, str] = {
+    "p9_mixture": _MIX + "SELECT * FROM mixed",
+    "p9_shares": _MIX
+    + """, given AS (SELECT source, count(*) AS n_uses, sum(size)::BIGINT AS used_size FROM mixed GROUP BY source)
+SELECT source, target_share, max_repeats, own_size, total_size, coalesce(n_uses, 0) AS n_uses, coalesce(used_size, 0)::BIGINT AS used_size,
+round(coalesce(used_size, 0) / nullif(sum(used_size) OVER (), 0), 6) AS reached_share, round(coalesce(used_size, 0) / nullif(total_size, 0), 6) AS share_of_total, possible >= wanted AS reachable
+FROM share LEFT JOIN given USING (source)""",
     "p7_found": _TERMS + "SELECT src, term, mark FROM marked WHERE mark IS NOT NULL",
     "p7_frequencies": _TERMS + "SELECT src, term, n_occurrences, n_records, mark FROM marked",
     "p8_found": _SIZES + "SELECT pack_name, doc_id FROM doc, pack_spec WHERE size > capacity",

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FAN_IN = 8
+ROWS_PER_PARTITION = 250_000
 
 
 def skip_reservoir(batches: Iterator[pd.DataFrame], size: int, rng: np.random.Generator) -> tuple[pd.DataFrame | None, int]:
@@ -76,15 +77,19 @@ def big_hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int
     return hits
 
 
-def reservoir_sample(df: DataFrame, record: str, size: int, seed: int = 17, partitions: int = 32) -> DataFrame:
+def reservoir_sample(df: DataFrame, record: str, size: int, seed: int = 17, partitions: int | None = None) -> DataFrame:
     """``size`` rows of ``df`` (all, if there are fewer), each with equal chance, and ``n_population``.
 
     Each ``record`` must be there once. Rows are spread by the hash of ``record`` and ordered by it within a
-    partition, so the same data give the same sample wherever tasks run or are repeated. No task holds more
-    than FAN_IN reservoirs. An empty table gives no rows. ``df`` must not have columns ``_part``, ``_seen``.
+    partition, so the same data give the same sample wherever tasks run or are repeated. Without ``partitions``
+    their number follows from that of the rows. No task holds more than FAN_IN reservoirs. An empty table gives no
+    rows. ``df`` must not have columns ``_part``, ``_seen``. Pass ids alone and fetch the rest by
+    ``rows_of_sample``, so that only ids are moved.
     """
     if size < 1:
         raise ValueError("size must be positive")
+    if partitions is None:
+        partitions = max(1, -(-df.count() // ROWS_PER_PARTITION))
     spread = df.repartition(partitions, F.xxhash64(record)).sortWithinPartitions(record)
     schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_seen", T.LongType())])
 
@@ -106,6 +111,19 @@ def reservoir_sample(df: DataFrame, record: str, size: int, seed: int = 17, part
         return run
 
     held = spread.mapInPandas(draw, schema)
-    for level in range(1, 1 + max(1, math.ceil(math.log(partitions, FAN_IN) - 1e-9))):
+    for level in range(1, 1 + math.ceil(math.log(partitions, FAN_IN) - 1e-9)):
         held = held.groupBy((F.col("_part") / FAN_IN).cast("int").alias("_to")).applyInPandas(merge(level), schema)
     return held.drop("_part").withColumnRenamed("_seen", "n_population")
+
+
+def sample_records(df: DataFrame, record: str, size: int, seed: int = 17) -> DataFrame:
+    """``record, n_population`` of ``size`` records drawn from the distinct ids of ``df``: deliveries of one id are one record.
+
+    A null id identifies no record.
+    """
+    return reservoir_sample(df.where(F.col(record).isNotNull()).select(record).distinct(), record, size, seed)
+
+
+def rows_of_sample(df: DataFrame, record: str, sample: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``record`` was drawn, with ``n_population``. The sample's size is a parameter, so it is broadcast."""
+    return df.join(F.broadcast(sample), record)

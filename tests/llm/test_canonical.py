@@ -5,7 +5,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from schemaloom.llm.canonical import canonical, canonical_array, lookalike_pairs
+from schemaloom.llm.canonical import canonical, canonical_array, lookalike_classes, lookalike_pairs
 from schemaloom.llm.codepoints import to_codepoints, to_text
 
 
@@ -47,3 +47,15 @@ def test_pairs_nulls_repeats_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert lookalike_pairs(spark.createDataFrame([], "i long, t string"), "i", "t").count() == 0
+
+
+def test_words_keep_their_script_and_look_alikes_agree():
+    same = ["Москва сор ёж", "Mосква cop ёж", "Мoсква соp ёж"]  # Latin letters hidden in the second and third
+    assert set(canonical_array(pa.array(same)).to_pylist()) == {"Москва сор ёж"}
+    assert canonical_array(pa.array(["καλό νόμος", "pаypal сор"])).to_pylist() == ["καλό νόμος", "paypal cop"]
+
+
+def test_classes_have_a_row_a_record_and_lose_no_link(spark):
+    rows = [(1, "abc"), (2, "аbc"), (3, "abc"), (4, None), (5, "x"), (6, "x"), (7, "a​bc")]
+    got = {r["id"]: (r["class_id"], r["spelling_id"], r["n_links"]) for r in lookalike_classes(spark.createDataFrame(rows, "sent_id long, text string"), "sent_id", "text").collect()}
+    assert got == {1: (1, 1, 2), 2: (1, 2, 3), 3: (1, 1, 2), 7: (1, 7, 3)}

@@ -46,3 +46,12 @@ def test_empty(spark):
     assert mixture(docs.limit(0), "doc_id", "source", "size", targets).count() == 0
     assert mixture(docs, "doc_id", "source", "size", targets.limit(0)).count() == 0
     assert reached_shares(docs.limit(0), "source", "size", targets, mixture(docs.limit(0), "doc_id", "source", "size", targets)).count() == 3
+
+
+def test_without_schedules_repeated_sources_come_late(spark):
+    docs, targets = tables(spark)
+    rows = mixture(docs, "doc_id", "source", "size", targets).collect()
+    first = lambda s: sum(r["size"] for r in rows if r["source"] == s and r["position"] < 0.5) / sum(r["size"] for r in rows if r["source"] == s)
+    assert abs(first("a") - 0.625) < 0.02 and abs(first("b") - 0.375) < 0.03
+    shares = {r["source"]: r for r in reached_shares(docs, "source", "size", targets, mixture(docs, "doc_id", "source", "size", targets)).collect()}
+    assert abs(sum(r["reached_share"] for r in shares.values()) - 1) < 1e-5 and shares["b"]["share_of_total"] < shares["b"]["reached_share"]

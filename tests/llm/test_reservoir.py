@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 
-from schemaloom.llm.reservoir import big_hypergeometric, hypergeometric_merge, reservoir_sample, skip_reservoir
+from schemaloom.llm.reservoir import big_hypergeometric, hypergeometric_merge, reservoir_sample, rows_of_sample, sample_records, skip_reservoir
 
 
 def test_skips_are_uniform():
@@ -44,3 +44,10 @@ def test_fewer_than_size_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "sent_id long, text string")
     assert sorted(r["sent_id"] for r in reservoir_sample(df, "sent_id", 10, partitions=9).collect()) == [1, 2]
     assert reservoir_sample(df.limit(0), "sent_id", 10).count() == 0
+
+
+def test_ids_are_drawn_before_rows_are_fetched(spark):
+    df = spark.range(900).selectExpr("id div 3 as sent_id", "repeat('x', 50) as text").unionByName(spark.createDataFrame([(None, "y")], "sent_id long, text string"))
+    sample = sample_records(df, "sent_id", 40)
+    rows = rows_of_sample(df, "sent_id", sample).collect()
+    assert len(rows) == 120 and len({r["sent_id"] for r in rows}) == 40 and {r["n_population"] for r in rows} == {300}
