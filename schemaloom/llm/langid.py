@@ -10,17 +10,24 @@ in the presence of landmark n-grams, so landmarks, whitening and regression fold
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LANGUAGES = ("de", "en", "es", "fr", "hi", "ja", "pt", "ru", "zh")
+# The two-letter language codes that are assigned; a label must be one of them to name a language.
+ASSIGNED = (
+    "aa ab ae af ak am an ar as av ay az ba be bg bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa ff fi fj fo fr fy "
+    "ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv "
+    "mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw "
+    "ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu"
+).split()
 ORDER = 4
 MAX_UNIT = 2000
 # Letters that a sentence has at least; shorter pieces go with the next one.
@@ -28,6 +35,8 @@ LEAST_SENTENCE = 14
 # Size of the training sample, whatever the size of the data.
 UNITS_PER_LABEL = 400
 LANDMARKS_PER_LABEL = 60
+# A label is a language to learn if held-out units with it are mostly given to it; fewer units than these can't show that.
+LEAST_HELD_OUT, LEAST_OWN = 10, 0.5
 RIDGE = 0.3
 CHUNK_CHARS = 200_000
 # Bits of an n-gram's key; the rest number the units of a chunk.
@@ -192,17 +201,17 @@ def fit(units: list[str], labels: list[str], landmarks: int = LANDMARKS_PER_LABE
     return model
 
 
-def label_language(label: Column, languages: tuple[str, ...] = LANGUAGES) -> Column:
+def label_language(label: Column) -> Column:
     """The language that a label names, without case and region; null if it names none."""
-    code = F.lower(F.regexp_extract(F.trim(label), r"^([A-Za-z]{2,3})(?:[-_].*)?$", 1))
-    return F.when(code.isin(*languages), code)
+    code = F.lower(F.regexp_extract(F.trim(label), r"^([A-Za-z]{2})(?:[-_].*)?$", 1))
+    return F.when(code.isin(*ASSIGNED), code)
 
 
 def training_units(documents: DataFrame, item: str, text: str, label: str, per_label: int = UNITS_PER_LABEL, seed: int = 3) -> list[tuple[str, str]]:
     """At most ``per_label`` units a label, drawn by hash from all labelled documents: ``(label, unit)``.
 
     Up to two units of a document are taken, of at most MAX_UNIT characters, so what comes to the driver is
-    bounded by the parameters.
+    bounded by the parameters and the number of codes. One pass counts the labels, one cuts the texts drawn.
     """
     known = documents.select(F.xxhash64(F.lit(seed), item).alias("h"), F.col(text).alias("text"), label_language(F.col(label)).alias("label"))
     known = known.where("label is not null and text is not null")
@@ -223,15 +232,31 @@ def training_units(documents: DataFrame, item: str, text: str, label: str, per_l
 
     found = drawn.mapInArrow(cut, "h bigint, label string, unit string")
     # The sample is bounded by now; each label's units in hash order.
-    out = []
-    for lang in sorted(counts):
-        out += [(r["label"], r["unit"]) for r in found.where(F.col("label") == lang).orderBy("h", "unit").limit(per_label).collect()]
-    return out
+    first = Window.partitionBy("label").orderBy("h", "unit")
+    rows = found.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_label).collect()
+    return [(r["label"], r["unit"]) for r in sorted(rows, key=lambda r: (r["label"], r["_n"]))]
+
+
+def learnable(sample: list[tuple[str, str]]) -> set[str]:
+    """Labels that stand for one language: a model of every other unit gives most of the remaining ones to them."""
+    fitted, held = sample[::2], sample[1::2]
+    labels = {x for x, _ in fitted}
+    counted = Counter(x for x, _ in held)
+    doubtful = {x for x in labels if counted[x] >= LEAST_HELD_OUT}
+    if len(labels) < 2 or not doubtful:
+        return {x for x, _ in sample}
+    model = fit([u for _, u in fitted], [x for x, _ in fitted], rounds=1)
+    best = [model.languages[i] for i in model.scores([u for _, u in held]).argmax(axis=1)]
+    own = Counter(x for (x, _), y in zip(held, best) if x == y)
+    return {x for x, _ in sample} - {x for x in doubtful if own[x] < LEAST_OWN * counted[x]}
 
 
 def fit_documents(documents: DataFrame, item: str, text: str, label: str) -> LanguageModel:
+    """The model of the languages that the labels of ``documents`` name and whose texts can be told from the others'."""
     sample = training_units(documents, item, text, label)
-    return fit([u for _, u in sample], [x for x, _ in sample])
+    languages = learnable(sample)
+    kept = [(x, u) for x, u in sample if x in languages]
+    return fit([u for _, u in kept], [x for x, _ in kept])
 
 
 SEGMENTS = "array<struct<start:int,end:int,lang:string,confidence:double,sure:boolean>>"

@@ -64,3 +64,17 @@ def test_one_language_is_refused():
 def test_very_long_text_is_cut():
     units = units_of("word " * 100_000)
     assert max(len(u) for _, _, u in units) <= 2000 and units[-1][1] == 500_000
+
+
+def test_labels_that_are_no_language_are_not_learnt(spark):
+    mixed = [t for _, t in UNITS]
+    rows = [(i, " ".join([t, t]), lang) for i, (lang, t) in enumerate(UNITS * 4)] + [(1000 + i, mixed[i % len(mixed)], ("xx", "nl", "und")[i % 3]) for i in range(120)]
+    fitted = fit_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert set(fitted.languages) == {"en", "de", "zh"}
+
+
+def test_a_tenth_language_is_learnt_from_its_labels(spark):
+    dutch = ["De gemeenteraad heeft het plan voor de oude brug goedgekeurd.", "De politie zei dat de weg door de regen was afgesloten.", "Niemand geloofde de burgemeester toen hij over de begroting sprak."]
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(UNITS * 2 + [("nl-BE", t) for t in dutch for _ in range(12)])]
+    fitted = fit_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert fitted.languages[fitted.scores(["De oude brug is door de politie afgesloten."]).argmax()] == "nl"
