@@ -11,7 +11,7 @@ from schemaloom.llm import langid, mixing, packing, sentences, termfreq
 from schemaloom.operators.range_runs import combine_map_side
 from schemaloom.llm.quality import TAILS, text_quality
 from schemaloom.llm.reservoir import rows_of_sample, sample_records
-from schemaloom.session import deliver_once, spread, table
+from schemaloom.session import deliver_once, spread, table, with_checkpoints
 
 
 def p2_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -25,19 +25,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(~F.col("is_prose")).select("sent_id")
 
 
-def p4_texts(spark: SparkSession, d: str) -> DataFrame:
-    """``src, rec_id, text``: wiki pages, and the corpus records that are prose."""
-    pages = deliver_once(table(spark, d, "wiki_page"), "revid", ["revid", "text"])
-    records = deliver_once(table(spark, d, "corpus"), "sent_id", ["sent_id", "text"])
-    prose = records.join(p2_found(spark, d), "sent_id", "left_anti")
-    return pages.select(F.lit("wiki_page").alias("src"), F.col("revid").alias("rec_id"), "text").unionByName(
-        prose.select(F.lit("corpus").alias("src"), F.col("sent_id").cast("string").alias("rec_id"), "text")
-    )
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    every = spread(table(spark, d, "wiki_page").select("text").unionByName(table(spark, d, "corpus").select("text")))
-    return sentences.sentence_ends(p4_texts(spark, d), ["src", "rec_id"], "text", sentences.learn(every.where("text is not null")))
+    """Sentence ends of the wiki pages and of the corpus records that are prose.
+
+    Each record counts once, as evidence too; its texts are written once, and so are the verdicts of p2.
+    """
+    with_checkpoints(spark)
+    pages = table(spark, d, "wiki_page").select("revid", F.md5("text").alias("_digest"), "text")
+    pages = deliver_once(pages, "revid", ["_digest", "revid", "text"]).select(F.lit("wiki_page").alias("src"), F.col("revid").alias("rec_id"), "text")
+    records = corpus_texts(spark, d).select(F.lit("corpus").alias("src"), F.col("sent_id").cast("string").alias("rec_id"), "text")
+    texts = spread(pages.unionByName(records).where("text is not null").checkpoint())
+    junk = p2_found(spark, d).select(F.lit("corpus").alias("src"), F.col("sent_id").cast("string").alias("rec_id")).checkpoint()
+    return sentences.split_sentences(texts.join(junk, ["src", "rec_id"], "left_anti"), ["src", "rec_id"], "text", texts.select("text"))
 
 
 def corpus_texts(spark: SparkSession, d: str) -> DataFrame:
