@@ -255,11 +255,14 @@ def canonical(df: DataFrame, text: str, out: str = "canonical") -> DataFrame:
 def spellings(df: DataFrame, record: str, text: str) -> DataFrame:
     """``id, form, spelling`` of the records in classes of several spellings: digests of the look of a text and of the text.
 
-    One pass makes the digests, which are written to the checkpoint folder and read from there. Null texts are left out.
+    One pass makes the digests, and only these are shuffled; they are written to the checkpoint folder and read from
+    there. Of deliveries of one id that differ, the text whose digest sorts first counts. Null ids and texts are left out.
     """
     with_checkpoints(df.sparkSession)
-    forms = canonical(df.select(F.col(record).alias("id"), F.col(text).alias("text")).where("text is not null"), "text")
-    keyed = forms.select("id", F.unhex(F.md5("canonical")).alias("form"), F.unhex(F.md5("text")).alias("spelling")).distinct().checkpoint()
+    forms = canonical(df.select(F.col(record).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null"), "text")
+    keyed = forms.select("id", F.unhex(F.md5("canonical")).alias("form"), F.unhex(F.md5("text")).alias("spelling"))
+    once = keyed.groupBy("id").agg(F.min(F.struct("spelling", "form")).alias("_x"))
+    keyed = once.select("id", "_x.form", "_x.spelling").checkpoint()
     # Two numbers a form, combined in each task before the shuffle: a form that most records have costs no more.
     several = keyed.groupBy("form").agg(F.min("spelling").alias("_a"), F.max("spelling").alias("_b")).where("_a <> _b").select("form")
     return keyed.join(several, "form", "left_semi")
@@ -269,7 +272,7 @@ def lookalike_classes(df: DataFrame, record: str, text: str) -> DataFrame:
     """``id, class_id, spelling_id, n_links`` of every record that looks like one with another text.
 
     ``class_id`` is the smallest id of records that look the same, ``spelling_id`` that of records with the same
-    text, ``n_links`` the number of records in the class with another text. Each ``record`` must be there once.
+    text, ``n_links`` the number of records in the class with another text.
     """
     rows = spellings(df, record, text)
     each = rows.groupBy("form", "spelling").agg(F.min("id").alias("spelling_id"), F.count(F.lit(1)).alias("n"))
@@ -281,7 +284,7 @@ def lookalike_classes(df: DataFrame, record: str, text: str) -> DataFrame:
 def lookalike_pairs(df: DataFrame, record: str, text: str) -> DataFrame:
     """Pairs ``id_a < id_b`` of records with different texts that look the same.
 
-    Each ``record`` must be there once. Texts are compared by 128-bit digests of text and look. Only looks
+    Texts are compared by 128-bit digests of text and look. Only looks
     with more than one spelling go on, and spellings are paired before records, so that equal texts, however
     often they are repeated, are never matched with each other. Null texts have no partners. Where all pairs are
     not wanted, ``lookalike_classes`` says the same in one row a record.

@@ -46,13 +46,13 @@ def corpus_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = lookalike_pairs(corpus_texts(spark, d).where("sent_id is not null"), "sent_id", "text")
+    pairs = lookalike_pairs(table(spark, d, "corpus").where("sent_id is not null"), "sent_id", "text")
     return pairs.select(F.col("id_a").alias("sent_id_a"), F.col("id_b").alias("sent_id_b"))
 
 
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     """One row a record that has a look-alike: its class, its spelling and its number of partners."""
-    return lookalike_classes(corpus_texts(spark, d).where("sent_id is not null"), "sent_id", "text").withColumnRenamed("id", "sent_id")
+    return lookalike_classes(table(spark, d, "corpus").where("sent_id is not null"), "sent_id", "text").withColumnRenamed("id", "sent_id")
 
 
 def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
