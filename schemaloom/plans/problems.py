@@ -58,6 +58,14 @@ def p3_events(spark: SparkSession, d: str) -> DataFrame:
     return english.unionByName(chinese)
 
 
+def p3_arguments(spark: SparkSession, d: str) -> DataFrame:
+    """The argument table of both sources: labels, places of event, argument and entity, role and text."""
+    english = linked_arguments(oneie_nodes(spark, d), "event_mentions", "arguments", "entity_mentions").withColumn("src", F.lit("train_oneie"))
+    chinese = linked_arguments(event_list_nodes(spark, d), "event_list", "arguments").withColumn("src", F.lit("train_event_list")).withColumnRenamed("argument", "text")
+    kept = ["src", "record", "pre", "post", "event_no", "arg_no", "ent_no", "role", "text"]
+    return english.select(*kept).unionByName(chinese.select(*kept))
+
+
 def p3_entities(spark: SparkSession, d: str) -> DataFrame:
     rows = node_table(oneie_nodes(spark, d), "entity_mentions").where("present")
     return rows.select("record", "pre", "post", "pos", F.col("id").alias("ent_id"), "mention_type", F.col("start").alias("ent_start"), F.col("end").alias("ent_end"))
@@ -69,6 +77,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_events": p3_events,
     "p3_entities": p3_entities,
+    "p3_arguments": p3_arguments,
 }
 
 B = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
@@ -82,7 +91,30 @@ clean AS (
 pair AS (SELECT lemma, obj, count(*) AS n FROM clean WHERE lemma <> '' AND obj <> '' GROUP BY ALL)
 """
 
+# Nodes are numbered in the order of a depth-first walk: the record, its events each followed by its arguments, its entities.
+_NODES = rf"""
+WITH one AS (SELECT DISTINCT inst_id::VARCHAR AS record, event_mentions, entity_mentions FROM train_oneie), zh AS (SELECT DISTINCT inst_id::VARCHAR AS record, event_list FROM train_event_list),
+ev AS (SELECT record, i - 1 AS pos, event_mentions[i] AS e, coalesce(len(event_mentions[i].arguments), 0) AS k FROM (SELECT *, unnest(range(1, len(event_mentions) + 1)) AS i FROM one)),
+evn AS (SELECT *, 1 + coalesce(sum(1 + k) OVER (PARTITION BY record ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pre FROM ev),
+zev AS (SELECT record, i - 1 AS pos, event_list[i] AS e, coalesce(len(event_list[i].arguments), 0) AS k FROM (SELECT *, unnest(range(1, len(event_list) + 1)) AS i FROM zh)),
+zevn AS (SELECT *, 1 + coalesce(sum(1 + k) OVER (PARTITION BY record ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pre FROM zev),
+ent AS (SELECT record, i - 1 AS pos, entity_mentions[i] AS m, lower(regexp_replace(entity_mentions[i].id, '^{B}+|{B}+$', '', 'g')) AS key FROM (SELECT *, unnest(range(1, len(entity_mentions) + 1)) AS i FROM one)),
+fe AS (SELECT record, key, min(pos) AS ent_no FROM ent WHERE key IS NOT NULL GROUP BY ALL)
+"""
+
 SQL = {
+    "p3_events": _NODES
+    + """SELECT 'train_oneie' AS src, record, pre, pre + k - 1 AS post, pos::INT AS pos, e.event_type AS event_type, e.trigger.text AS trigger FROM evn WHERE e IS NOT NULL
+UNION ALL SELECT 'train_event_list', record, pre, pre + k - 1, pos::INT, e.event_type, e.trigger FROM zevn WHERE e IS NOT NULL""",
+    "p3_arguments": _NODES
+    + rf""", a AS (SELECT record, pos AS event_no, j - 1 AS arg_no, pre + j AS pre, e.arguments[j] AS a FROM (SELECT *, unnest(range(1, k + 1)) AS j FROM evn WHERE e IS NOT NULL) WHERE e.arguments[j] IS NOT NULL),
+z AS (SELECT record, pos AS event_no, j - 1 AS arg_no, pre + j AS pre, e.arguments[j] AS a FROM (SELECT *, unnest(range(1, k + 1)) AS j FROM zevn WHERE e IS NOT NULL) WHERE e.arguments[j] IS NOT NULL)
+SELECT 'train_oneie' AS src, a.record, pre, pre - 2 AS post, event_no::INT AS event_no, arg_no::INT AS arg_no, coalesce(ent_no, -1)::INT AS ent_no, a.role AS role, a.text AS text
+FROM a LEFT JOIN fe ON fe.record = a.record AND fe.key = lower(regexp_replace(a.entity_id, '^{B}+|{B}+$', '', 'g'))
+UNION ALL SELECT 'train_event_list', record, pre, pre - 2, event_no::INT, arg_no::INT, -1, a.role, a.argument FROM z""",
+    "p3_entities": _NODES
+    + """, total AS (SELECT record, sum(1 + k)::BIGINT AS n FROM ev GROUP BY record)
+SELECT record, 1 + coalesce(n, 0) + pos AS pre, coalesce(n, 0) + pos AS post, pos::INT AS pos, m.id AS ent_id, m.mention_type AS mention_type, m."start" AS ent_start, m."end" AS ent_end FROM ent LEFT JOIN total USING (record) WHERE m IS NOT NULL""",
     "p1_found": _PAIRS
     + "SELECT lemma, obj FROM pair QUALIFY row_number() OVER (PARTITION BY lemma ORDER BY n DESC, obj) = 1",
     "p1_lemma_profile": _PAIRS

@@ -57,3 +57,24 @@ def test_sliced_batches(spark):
         assert got == sorted(x for row in rows for x in traverse(row))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+DEEP = "rec string, box struct<name:string,items:array<struct<a:int,tag:struct<t:string,sub:array<struct<b:int>>>>>>, grid array<array<struct<c:int>>>, bag map<string,struct<v:int,more:array<struct<d:int>>>>, plain array<int>"
+DEEP_ROWS = [
+    ("r", ("n", [(1, ("x", [(5,), None])), None, (2, None)]), [[(7,), (8,)], None, []], {"k": (3, [(9,)]), "l": None}, [1, 2]),
+    ("s", None, None, None, None),
+]
+
+
+def test_structs_maps_and_arrays_in_arrays(spark):
+    nodes = shred(spark.createDataFrame(DEEP_ROWS, DEEP), "rec").cache()
+    kinds = sorted((r["node_type"], r["depth"], r["pos"], r["present"]) for r in nodes.where("record = 'r'").collect())
+    assert kinds == sorted([
+        ("record", 0, 0, True), ("items", 1, 0, True), ("items", 1, 1, False), ("items", 1, 2, True), ("sub", 2, 0, True), ("sub", 2, 1, False),
+        ("grid", 1, 0, True), ("grid", 1, 1, False), ("grid", 1, 2, True), ("element", 2, 0, True), ("element", 2, 1, True),
+        ("bag", 1, 0, True), ("bag", 1, 1, True), ("more", 2, 0, True)])
+    assert [(r["a"], r["tag"] and r["tag"]["t"]) for r in node_table(nodes, "items").where("present").orderBy("pos").collect()] == [(1, "x"), (2, None)]
+    assert {(r["key"], r["value"] and r["value"]["v"]) for r in node_table(nodes, "bag").collect()} == {("k", 3), ("l", None)}
+    assert [r["c"] for r in node_table(nodes, "element").orderBy("pos").collect()] == [7, 8] and node_table(nodes, "grid").count() == 3
+    pre = [r["pre"] for r in nodes.where("record = 'r'").collect()]
+    assert sorted(pre) == list(range(14)) and nodes.where("record = 's'").count() == 1
