@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from schemaloom.operators.ranking import ranked
 from schemaloom.session import with_checkpoints
 
 DAMPING, STEPS, EPSILON = 0.8, 300, 1e-6
@@ -22,27 +23,37 @@ def page_rank(weights: np.ndarray, damping: float = DAMPING, steps: int = STEPS,
     rank = np.full(n, 1.0 / n)
     for _ in range(steps):
         new = damping * move @ rank + (1 - damping) / n
-        if np.abs(new - rank).sum() < epsilon:
+        if np.linalg.norm(rank - new) < epsilon:
+            return new
+        rank = new
+    return rank
+
+
+def sparse_page_rank(n: int, to: np.ndarray, start: np.ndarray, weight: np.ndarray, damping: float = DAMPING, steps: int = STEPS, epsilon: float = EPSILON) -> np.ndarray:
+    """``page_rank`` of the matrix with ``weight`` at (``to``, ``start``)."""
+    total = np.bincount(start, weight, n)
+    move = np.divide(weight, total[start], out=np.zeros_like(weight, dtype=float), where=total[start] > 0)
+    rank = np.full(n, 1.0 / n)
+    for _ in range(steps):
+        new = damping * np.bincount(to, move * rank[start], n) + (1 - damping) / n
+        if np.linalg.norm(rank - new) < epsilon:
             return new
         rank = new
     return rank
 
 
 def group_page_rank(edges: DataFrame, group: str) -> DataFrame:
-    """``group, node, rank`` of undirected weighted edges ``group, a, b, w``: one small graph a group.
+    """``group, node, rank`` of undirected weighted edges ``group, a, b, w``: one graph a group.
 
-    A group's graph must fit one task: its nodes are the slots of one instance.
+    A group's edges come to one task, which holds them as a sparse matrix; links of a pair met twice add up.
     """
     kind = dict(edges.dtypes)[group]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         nodes = np.unique(np.concatenate([part["a"], part["b"]]).astype(str))
-        at = {x: i for i, x in enumerate(nodes)}
-        m = np.zeros((len(nodes), len(nodes)))
-        for a, b, w in zip(part["a"], part["b"], part["w"]):
-            m[at[a], at[b]] += w
-            m[at[b], at[a]] += w
-        return pd.DataFrame({group: part[group].iloc[0], "node": nodes, "rank": page_rank(m)})
+        a, b, w = np.searchsorted(nodes, part["a"].astype(str)), np.searchsorted(nodes, part["b"].astype(str)), part["w"].to_numpy(float)
+        rank = sparse_page_rank(len(nodes), np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w]))
+        return pd.DataFrame({group: part[group].iloc[0], "node": nodes, "rank": rank})
 
     return edges.select(group, "a", "b", "w").groupBy(group).applyInPandas(run, f"{group} {kind}, node string, rank double")
 
@@ -51,86 +62,120 @@ def louvain(nodes: list, edges: dict[tuple, float], n_edges: float | None = None
     """Community of each node; nodes are visited in the given order until none moves, then communities merge.
 
     The gain of joining a community is the weight towards it less degree times its degree over ``n_edges``,
-    which is the number of edges of the complete graph: pairs without weight count as edges of weight zero.
-    Ties go to the community met first.
+    which is the number of edges of the complete graph: pairs without weight count as edges of weight zero. A
+    node moves to the community of greatest gain above 0; of equals that with the node that comes first, its own
+    only if that is it. Merged, the weights inside a community count once towards its degree, and communities
+    are visited as their links are met.
     """
     members = {i: [x] for i, x in enumerate(nodes)}
     at = {x: i for i, x in enumerate(nodes)}
     links: dict[int, dict[int, float]] = defaultdict(dict)
     for (a, b), w in edges.items():
         i, j = at[a], at[b]
-        if w:
+        if w and i != j:
             links[i][j] = links[i].get(j, 0.0) + w
-            if i != j:
-                links[j][i] = links[j].get(i, 0.0) + w
+            links[j][i] = links[j].get(i, 0.0) + w
     m = n_edges if n_edges is not None else len(nodes) * (len(nodes) - 1) / 2
     inner = dict.fromkeys(members, 0.0)
+    order, first_level = sorted(members), True
     while m:
         home = {i: i for i in members}
+        inside = {i: {i} for i in members}
         degree = {i: sum(links[i].values()) + inner[i] for i in members}
         total = dict(degree)
         moved = True
         any_move = False
         while moved:
             moved = False
-            for i in sorted(members):
+            for i in order:
                 toward: dict[int, float] = {}
-                for j, w in sorted(links[i].items()):
-                    if j != i:
-                        toward[home[j]] = toward.get(home[j], 0.0) + w
+                for j, w in links[i].items():
+                    toward[home[j]] = toward.get(home[j], 0.0) + w
                 own = home[i]
-                total[own] -= degree[i]
-                best, gain = own, toward.get(own, 0.0) - degree[i] * total[own] / m
-                for c, w in toward.items():
-                    g = w - degree[i] * total[c] / m
-                    if c != own and g > max(gain, 0.0) + 1e-12:
-                        best, gain = c, g
-                total[best] += degree[i]
+                if first_level and len(inside[own]) > 1:
+                    toward.setdefault(own, 0.0)  # in the complete graph all members are neighbours
+                if not toward:
+                    continue
+                gains = {c: w - degree[i] * (total[c] - (degree[i] if c == own else 0.0)) / m for c, w in toward.items()}
+                top = max(gains.values())
+                if top <= 0:
+                    continue
+                met = lambda c: min((x for x in inside[c] if x != i and (first_level or x in links[i])), default=len(nodes))  # noqa: B023, E731
+                best = min((c for c, g in gains.items() if g == top), key=met)
                 if best != own:
+                    inside[own].discard(i)
+                    inside[best].add(i)
+                    total[own] -= degree[i]
+                    total[best] += degree[i]
                     home[i], moved, any_move = best, True, True
         if not any_move:
             break
         merged: dict[int, list] = defaultdict(list)
         new_links: dict[int, dict[int, float]] = defaultdict(dict)
         new_inner: dict[int, float] = defaultdict(float)
-        for i in members:
+        for i in sorted(members):
             merged[home[i]] += members[i]
             new_inner[home[i]] += inner[i]
             for j, w in links[i].items():
                 a, b = home[i], home[j]
                 if a == b:
-                    new_inner[a] += w
+                    new_inner[a] += w / 2  # met from both ends
                 else:
                     new_links[a][b] = new_links[a].get(b, 0.0) + w
         members, links, inner = dict(merged), new_links, new_inner
-    return {x: c for c, group in enumerate(sorted(members.values(), key=lambda g: (-len(g), g[0]))) for x in sorted(group)}
+        seen: dict[int, None] = {}
+        for a in sorted(links):
+            for b in sorted(links[a]):
+                if b > a:
+                    seen.setdefault(a), seen.setdefault(b)
+        order, first_level = list(seen), False
+    place = {x: i for i, x in enumerate(nodes)}
+    groups = sorted((sorted(g, key=place.get) for g in members.values()), key=lambda g: (-len(g), place[g[0]]))
+    return {x: c for c, group in enumerate(groups) for x in group}
 
 
-def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node, community`` of one bounded graph: ``nodes`` (``node, position``) and ``edges`` (``a, b, w``).
+# Nodes up to which a graph goes to one task as it is; a larger one is parted into its components first.
+ONE_TASK = 20_000
 
-    Meant for the instances kept for aggregation, whose number is a parameter.
+
+def communities(nodes: DataFrame, edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """``node, community`` of ``nodes`` (``node, position``) and ``edges`` (``a, b, w``); the largest community is 0.
+
+    Communities never leave a component, and the number of edges of the complete graph is known, so a graph of
+    more than ``one_task`` nodes is done component by component, with the same result.
     """
     rows = nodes.select(F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), F.col("position").cast("double").alias("w")).unionByName(edges.select("a", "b", F.col("w").cast("double").alias("w")))
+    count = nodes.count()
+    all_pairs = count * (count - 1) / 2
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        vertices = part[part["b"].isna()].sort_values(["w", "a"])["a"].tolist()
+        own = part[part["b"].isna()].sort_values(["w", "a"])
         pairs = part[part["b"].notna()].sort_values(["a", "b"])
-        found = louvain(vertices, {(a, b): w for a, b, w in zip(pairs["a"], pairs["b"], pairs["w"])})
-        return pd.DataFrame({"node": list(found), "community": list(found.values())})
-
-    return rows.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, "node string, community int")
-
-
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+        found = louvain(own["a"].tolist(), {(a, b): w for a, b, w in zip(pairs["a"], pairs["b"], pairs["w"])}, all_pairs)
+        return pd.DataFrame({"node": own["a"], "position": own["w"], "community": own["a"].map(found).astype("int32")})
+
+    kind = "node string, position double, community int"
+    if count <= one_task:
+        return rows.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, kind).drop("position")
+    home = components(edges)
+    parted = rows.join(home.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    found = parted.groupBy("component").applyInPandas(lambda part: run(part).assign(component=part["component"].iloc[0]), f"{kind}, component string")
+    found = found.checkpoint()
+    sizes = found.groupBy("component", "community").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("position", "node")).alias("first"))
+    numbered = ranked(sizes, [], [F.desc("n"), F.col("first")]).select("component", "community", (F.col("rank") - 1).cast("int").alias("_number"))
+    return found.join(numbered, ["component", "community"]).select("node", F.col("_number").alias("community"))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """``node, component`` of an undirected graph of any size: the smallest node of each component.
 
     Alternates linking every neighbour to the smallest one seen and short-cutting through it, so the number of
-    rounds grows with the logarithm of a component's diameter. Lineage is cut by checkpoint each round.
+    rounds grows with the logarithm of a component's diameter; it ends when nothing changes. Lineage is cut by
+    checkpoint each round.
     """
     with_checkpoints(edges.sparkSession)
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null").distinct().checkpoint()
-    for _ in range(rounds):
+    while True:
         both = pairs.where("u <> v").unionByName(pairs.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -63,7 +63,7 @@ def parsed_completion(raw: Column) -> Column:
     """``vo & event slot ...`` as a struct ``vo, event, slots``; nothing after the mark gives the event 'none'."""
     left, right = F.trim(F.split_part(raw, F.lit("&"), F.lit(1))), F.filter(F.split(F.trim(F.split_part(raw, F.lit("&"), F.lit(2))), r"\s+"), lambda w: w != "")
     event = F.when(F.size(right) > 1, right[0]).otherwise(F.lit("none"))
-    slots = F.when(F.size(right) > 1, F.array_sort(F.array_distinct(F.slice(right, 2, 10_000)))).otherwise(F.array().cast("array<string>"))
+    slots = F.when(F.size(right) > 1, F.array_sort(F.array_distinct(F.slice(right, 2, F.size(right))))).otherwise(F.array().cast("array<string>"))
     return F.struct(left.alias("vo"), event.alias("event"), slots.alias("slots"))
 
 

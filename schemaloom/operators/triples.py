@@ -19,14 +19,17 @@ def lemma_of(word: Column) -> Column:
 
 
 # Part-of-speech tags and the class a lemma with the tag is generalised to.
-POS_CLASSES = {"PERSON": ("PRP", "NNP"), "THING": ("WP", "WDT"), "DET": ("DT",), "CONJ": ("CC", "IN"), "NUM": ("CD",)}
+POS_CLASSES = {"PERSON": ("PRP", "PR", "FW"), "DET": ("DT", "DET"), "CONJ": ("CC", "CONJ"), "NUM": ("CD", "NU", "NUM")}
+THINGS, PERSONS = ("it", "its"), ("who",)
 
 
 def generalised(lemma: Column, pos: Column) -> Column:
+    """The class of a lemma with a closed part of speech; ``it`` is a THING, ``who`` a PERSON whatever its part of speech."""
     out = lemma
     for name, tags in POS_CLASSES.items():
         out = F.when(pos.isin(*tags), name).otherwise(out)
-    return out
+    out = F.when(pos.isin(*POS_CLASSES["PERSON"]) & F.lower(lemma).isin(*THINGS), "THING").otherwise(out)
+    return F.when(lemma.isin(*PERSONS), "PERSON").otherwise(out)
 
 
 def merged(triples: DataFrame, keys: list[str], weight: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+BLOCK, ROWS_A_BLOCK, LEAST_BLOCKS = 2048, 20_000, 3
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,12 +31,15 @@ def packed(means: DataFrame, key: str) -> DataFrame:
     return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "mean"))), lambda x: x["mean"]).alias("vector"))
 
 
-def nearest(df: DataFrame, item: str, vector: str, queries: DataFrame, k: int = 10, blocks: int = 8) -> DataFrame:
+def nearest(df: DataFrame, item: str, vector: str, queries: DataFrame, k: int = 10, blocks: int | None = None) -> DataFrame:
     """``query, item, rank, similarity``: the exact ``k`` nearest of all rows to each query, by cosine; itself not.
 
     Queries and rows are dealt into blocks; each pair of blocks is one matrix product in one task, which passes
-    on only its ``k`` best a query. Neither side is broadcast or held whole. Ties go to the smaller id.
+    on only its ``k`` best a query. Neither side is broadcast or held whole. Ties go to the smaller id. Without
+    ``blocks`` their number follows from that of the rows.
     """
+    if blocks is None:
+        blocks = LEAST_BLOCKS + df.count() // ROWS_A_BLOCK
     q = queries.select(F.col(item).alias("id"), F.col(vector).alias("v")).withColumn("side", F.lit(0))
     q = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     r = df.select(F.col(item).alias("id"), F.col(vector).alias("v")).withColumn("side", F.lit(1))

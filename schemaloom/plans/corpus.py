@@ -31,26 +31,45 @@ def zh_sentences(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d).where("zh").select("sent_id", F.posexplode(op.split_chinese(F.col("text"))).alias("sent_no", "sentence"))
 
 
+def english_abbreviations(spark: SparkSession, d: str) -> DataFrame:
+    words = records(spark, d).where(F.col("dataset").endswith("_en")).select(F.explode(op.tokens(F.col("text"))).alias("word"))
+    return op.abbreviations(words, "word")
+
+
 def en_sentences(spark: SparkSession, d: str) -> DataFrame:
-    rows = records(spark, d).where(F.col("dataset").endswith("_en"))
-    return rows.select("sent_id", F.posexplode(op.split_english(F.regexp_replace("text", r"[^ -~]", " "))).alias("sent_no", "sentence"))
+    """Sentences by the abbreviations that the English texts themselves show; these are few, so they go along as an array."""
+    known = english_abbreviations(spark, d).agg(F.array_sort(F.collect_set("term"))).scalar()
+    rows = records(spark, d).where(F.col("dataset").endswith("_en")).withColumn("_known", known)
+    return rows.select("sent_id", F.posexplode(op.split_english(F.col("text"), F.col("_known"))).alias("sent_no", "sentence"))
 
 
-def paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    pages = deliver_once(table(spark, d, "wiki_page"), "revid", ["revid", "title", "text"])
-    return pages.select("revid", "title", F.posexplode(F.split("text", "\n")).alias("par_no", "paragraph")).where("paragraph <> ''")
+def simplified_texts(spark: SparkSession, d: str) -> DataFrame:
+    rows = records(spark, d).withColumn("simplified", op.simplified(F.col("text")))
+    return rows.where("simplified <> text").select("sent_id", "simplified")
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return deliver_once(table(spark, d, "wiki_page"), "revid", ["revid", "title", "text"]).where("text is not null")
 
 
 def title_repair(spark: SparkSession, d: str) -> DataFrame:
-    # What follows a page's title at its start is the text without it.
-    rows = paragraphs(spark, d).where("title is not null and par_no = 0")
-    bare = F.when(F.col("paragraph").startswith(F.concat(F.col("title"), F.lit(" "))), F.substr("paragraph", F.char_length("title") + 2)).otherwise(F.col("paragraph"))
-    return rows.select("revid", op.repaired_opening(bare, F.col("title")).alias("paragraph"))
+    rows = pages(spark, d)
+    return rows.select("revid", op.repaired_text(F.col("text"), F.col("title"), op.is_chinese(F.col("text"))).alias("text"))
+
+
+def paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs of the pages with ``short``: they count as headings and leave the text."""
+    rows = pages(spark, d).withColumn("zh", op.is_chinese(F.col("text")))
+    rows = rows.select("revid", "zh", F.posexplode(F.split("text", "\n")).alias("par_no", "paragraph")).where("paragraph <> ''")
+    return rows.withColumn("short", op.is_short(F.col("paragraph"), F.col("zh")))
 
 
 def short_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    rows = paragraphs(spark, d).withColumn("short", op.is_short(F.col("paragraph"), F.lit(False)))
-    return rows.groupBy("short").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("paragraph")).alias("n_chars"))
+    return paragraphs(spark, d).groupBy("short").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("paragraph")).alias("n_chars"))
+
+
+def short_list(spark: SparkSession, d: str) -> DataFrame:
+    return paragraphs(spark, d).where("short").select("revid", "par_no", "paragraph")
 
 
 def length_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -68,13 +87,9 @@ def shuffled_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def consecutive_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages in id order without a repeat of the page just before."""
-    from pyspark.sql import Window
-
-    ids = table(spark, d, "wiki_page").where("id is not null and revid is not null").select(F.expr("try_cast(id as bigint)").alias("page"), "revid")
-    # Repeats have the same id, so neighbours are found within it.
-    last = F.lag("revid").over(Window.partitionBy("page").orderBy("revid"))
-    return ids.withColumn("last", last).where("last is null or last <> revid").select("page", "revid")
+    """Pages in the order of arrival without those that repeat the id of the page just before."""
+    ids = table(spark, d, "wiki_page").where("id is not null and revid is not null").select(F.expr("try_cast(id as bigint)").alias("page"), "revid", "arrived_at").where("page is not null")
+    return op.without_neighbours(ids, "page", [F.col("arrived_at"), F.col("revid")]).select("page", "revid")
 
 
 QUERIES = {
@@ -82,7 +97,10 @@ QUERIES = {
     "corpus_filter_counters": filter_counters,
     "corpus_zh_sentences": zh_sentences,
     "corpus_en_sentences": en_sentences,
+    "corpus_abbreviations": english_abbreviations,
+    "corpus_simplified": simplified_texts,
     "corpus_title_repair": title_repair,
+    "corpus_short_list": short_list,
     "corpus_short_paragraphs": short_paragraphs,
     "corpus_length_statistics": length_statistics,
     "corpus_common_lengths": common_lengths,
@@ -92,33 +110,51 @@ QUERIES = {
 
 _NUM = "[\\p{N}一二三四五六七八九十百千万亿零〇两]"
 _SPACE = r"[^\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-_BAD = r"[\x{200B}-\x{200F}\x{FEFF}\x{AD}\x{2028}\x{2029}\x{FFFD}]"
+_BAD = "[" + "".join(rf"\x{{{c}}}" for c in op.BAD_CODES) + "]"
 _REC = "WITH rec AS (SELECT DISTINCT sent_id, text, dataset, dataset LIKE '%\\_zh' ESCAPE '\\' AS zh FROM corpus WHERE text IS NOT NULL)"
-_FLAG = rf"""{_REC}, clean AS (SELECT sent_id, dataset, zh, regexp_replace(text, '{_BAD}', '', 'g') AS text FROM rec),
-sized AS (SELECT *, CASE WHEN zh THEN length(text) ELSE len(regexp_extract_all(text, '{_SPACE}+')) END AS length,
-          len(regexp_extract_all(text, '{_NUM}')) / greatest(length(text), 1)::DOUBLE AS share FROM clean)
+_FLAG = rf"""{_REC}, 
+sized AS (SELECT sent_id, dataset, regexp_replace(text, '{_BAD}', '', 'g') AS clean, CASE WHEN zh THEN length(text) ELSE len(regexp_extract_all(text, '{_SPACE}+')) END AS length,
+          len(regexp_extract_all(text, '{_NUM}')) / greatest(length(text), 1)::DOUBLE AS share FROM rec)
 """
 _LEN = rf"""{_REC}, sized AS (SELECT dataset, CASE WHEN zh THEN length(text) ELSE len(regexp_extract_all(text, '{_SPACE}+')) END AS length FROM rec)
 """
-_PAR = """WITH page AS (SELECT DISTINCT revid, title, text FROM wiki_page WHERE text IS NOT NULL),
-part AS (SELECT revid, title, string_split(text, chr(10)) AS lines FROM page),
-par AS (SELECT revid, title, i - 1 AS par_no, lines[i] AS paragraph FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM part) WHERE lines[i] <> '')
+_ZH = r"len(regexp_extract_all(text, '[\x{4E00}-\x{9FFF}]')) * 2 > len(regexp_extract_all(text, '\p{L}'))"
+_PAR = rf"""WITH page AS (SELECT DISTINCT revid, title, text, {_ZH} AS zh FROM wiki_page WHERE text IS NOT NULL),
+part AS (SELECT revid, zh, string_split(text, chr(10)) AS lines FROM page),
+par AS (SELECT revid, zh, (i - 1)::INT AS par_no, lines[i] AS paragraph FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM part) WHERE lines[i] <> ''),
+short AS (SELECT *, CASE WHEN zh THEN length(paragraph) ELSE len(regexp_extract_all(paragraph, '{_SPACE}+')) END <= 5 AS short FROM par)
+"""
+_ABB = rf"""WITH rec AS (SELECT DISTINCT sent_id, text FROM corpus WHERE text IS NOT NULL AND dataset LIKE '%\_en' ESCAPE '\'),
+tok AS (SELECT sent_id, regexp_extract_all(text, '{_SPACE}+') AS w FROM rec), word AS (SELECT unnest(w) AS w FROM tok),
+term AS (SELECT regexp_replace(lower(w), '\.$', '') AS term, ends_with(w, '.')::INT AS d FROM word),
+ct AS (SELECT term, count(*)::DOUBLE AS n, sum(d)::DOUBLE AS k, length(replace(term, '.', '')) AS l, length(term) - length(replace(term, '.', '')) + 1 AS stops FROM term WHERE regexp_full_match(term, '\p{{L}}[\p{{L}}.]*') GROUP BY term),
+p AS (SELECT sum(k) / sum(n) AS p FROM ct),
+ab AS (SELECT term, round(-2 * ((k * ln(p) + (n - k) * ln(1 - p)) - (k * ln(0.99::DOUBLE) + (n - k) * ln(1 - 0.99::DOUBLE))) * exp(-l::DOUBLE) * stops * pow(l::DOUBLE, -(n - k)), 6) AS score FROM ct, p WHERE k >= 5),
+abb AS (SELECT * FROM ab WHERE score >= 0.3)
 """
 
 SQL = {
-    "corpus_clean": _FLAG + "SELECT sent_id, text FROM sized WHERE length < 256 AND share <= 0.25",
+    "corpus_clean": _FLAG + "SELECT sent_id, clean AS text FROM sized WHERE length < 256 AND share <= 0.25",
     "corpus_filter_counters": _FLAG + "SELECT dataset, count(*) AS n, count(*) FILTER (length >= 256) AS n_too_long, count(*) FILTER (share > 0.25) AS n_too_numeric, max(length)::INT AS max_length FROM sized GROUP BY dataset",
     "corpus_zh_sentences": _REC + r""", s AS (SELECT sent_id, regexp_extract_all(text, '(?s).*?(?:。|[!?！？]+)') AS l FROM rec WHERE zh)
 SELECT sent_id, (i - 1)::INT AS sent_no, l[i] AS sentence FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM s)""",
-    "corpus_en_sentences": r"""WITH rec AS (SELECT DISTINCT sent_id, text FROM corpus WHERE text IS NOT NULL AND dataset LIKE '%\_en' ESCAPE '\'),
-s AS (SELECT sent_id, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '[^ -~]', ' ', 'g')), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: x <> '') AS l FROM rec)
-SELECT sent_id, (i - 1)::INT AS sent_no, l[i] AS sentence FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM s)""",
-    "corpus_title_repair": _PAR + r""", bare AS (SELECT revid, title, CASE WHEN starts_with(paragraph, title || ' ') THEN substr(paragraph, length(title) + 2) ELSE paragraph END AS p
-FROM par WHERE title IS NOT NULL AND par_no = 0)
-SELECT revid, CASE WHEN regexp_matches(p, '^(is|was|were|are) ') THEN title || ' ' || p ELSE p END AS paragraph FROM bare""",
-    "corpus_short_paragraphs": _PAR + f"SELECT len(regexp_extract_all(paragraph, '{_SPACE}+')) <= 5 AS short, count(*) AS n, sum(length(paragraph))::BIGINT AS n_chars FROM par GROUP BY 1",
+    "corpus_abbreviations": _ABB + "SELECT * FROM abb",
+    "corpus_en_sentences": _ABB
+    + r""", it AS (SELECT sent_id, w, unnest(range(1, len(w) + 1)) AS i FROM tok),
+e AS (SELECT sent_id, w, i FROM it WHERE i = len(w) OR (regexp_matches(w[i], '[.!?]["''”’)\]]*$')
+  AND NOT (ends_with(w[i], '.') AND (regexp_replace(lower(w[i]), '\.$|^["''“‘(\[]+', '', 'g') IN (SELECT term FROM abb) OR regexp_matches(w[i], '^["''“‘(\[]*\p{Lu}\.$')))
+  AND NOT regexp_matches(w[i + 1], '^\p{Ll}'))),
+s AS (SELECT *, row_number() OVER r - 1 AS no, coalesce(lag(i) OVER r, 0) AS prev FROM e WINDOW r AS (PARTITION BY sent_id ORDER BY i))
+SELECT sent_id, no::INT AS sent_no, array_to_string(w[prev + 1:i], ' ') AS sentence FROM s""",
+    "corpus_simplified": _REC + "".join(f", s AS (SELECT sent_id, text, translate(text, '{a}', '{b}') AS simplified FROM rec) SELECT sent_id, simplified FROM s WHERE simplified <> text" for a, b in op.SIMPLIFIED.items()),
+    "corpus_title_repair": rf"""WITH page AS (SELECT DISTINCT revid, title, text, {_ZH} AS zh, regexp_replace(text, '^[\p{{Z}}\s]+', '') AS bare FROM wiki_page WHERE text IS NOT NULL)
+SELECT revid, CASE WHEN zh AND starts_with(bare, '是') AND title IS NOT NULL AND left(text, 2) <> left(title, 2) THEN title || text
+WHEN NOT zh AND regexp_matches(bare, '^(is|was|were|are) ') THEN concat_ws(' ', trim(title), bare) ELSE text END AS text FROM page""",
+    "corpus_short_paragraphs": _PAR + "SELECT short, count(*) AS n, sum(length(paragraph))::BIGINT AS n_chars FROM short GROUP BY 1",
+    "corpus_short_list": _PAR + "SELECT revid, par_no, paragraph FROM short WHERE short",
     "corpus_length_statistics": _LEN + "SELECT dataset, min(length)::INT AS min_length, max(length)::INT AS max_length, round(avg(length), 6) AS mean_length FROM sized GROUP BY dataset",
     "corpus_common_lengths": _LEN + "SELECT length::INT AS length, count(*) AS n FROM sized GROUP BY length ORDER BY n DESC, length LIMIT 10",
     "corpus_shuffled_sample": _REC + "SELECT sent_id, text FROM rec ORDER BY md5('1234-' || sent_id::VARCHAR), sent_id LIMIT 5000",
-    "corpus_consecutive_pages": "SELECT DISTINCT try_cast(id AS BIGINT) AS page, revid FROM wiki_page WHERE id IS NOT NULL AND revid IS NOT NULL",
+    "corpus_consecutive_pages": """WITH p AS (SELECT try_cast(id AS BIGINT) AS page, revid, arrived_at FROM wiki_page WHERE id IS NOT NULL AND revid IS NOT NULL AND try_cast(id AS BIGINT) IS NOT NULL)
+SELECT page, revid FROM (SELECT *, lag(page) OVER (ORDER BY arrived_at, revid) AS last FROM p) WHERE last IS DISTINCT FROM page""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from schemaloom.operators import metrics, triples
+from schemaloom.operators import clustering, metrics, triples
 from schemaloom.operators import vectors as op
 from schemaloom.plans.triples import frame_clusters
 from schemaloom.session import deliver_once, table
@@ -44,6 +44,25 @@ def kmeans_scores(spark: SparkSession, d: str) -> DataFrame:
     return metrics.cluster_scores(metrics.contingency(rows, "label", "cluster"))
 
 
+def method_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Clusterings of the vectors by different methods against their labels; those of all pairs take the query rows (id % 50)."""
+    rows = embeddings(spark, d)
+    few = rows.where("vec_id % 50 = 0")
+    paired = clustering.comparison(few, "vec_id", "embedding", "label", 10, ("agglomerative", "spectral", "density"))
+    return clustering.comparison(rows, "vec_id", "embedding", "label", 10, ("kmeans", "whispers")).unionByName(paired)
+
+
+def fuzzy_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of the graph of five nearest neighbours in which a vector may be in several."""
+    return clustering.fuzzy_clusters(clustering.neighbour_graph(embeddings(spark, d), "vec_id", "embedding", 5))
+
+
+def reduced_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Share of a row's squared length that its ten leading directions keep, by label."""
+    rows = clustering.reduced(embeddings(spark, d), "vec_id", "embedding", 10).join(embeddings(spark, d).select("vec_id", "label"), "vec_id")
+    return op.mean_vectors(rows, "label", "vector").select("label", "place", F.round("mean", 4).alias("mean"))
+
+
 def repeat_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Mean and population deviation of the similarity to the own label's mean."""
     rows = nearest_label(spark, d)
@@ -108,6 +127,9 @@ QUERIES = {
     "vectors_nearest_label": nearest_label,
     "metrics_cluster_scores": cluster_scores,
     "metrics_kmeans_scores": kmeans_scores,
+    "metrics_comparison": method_comparison,
+    "vectors_fuzzy_clusters": fuzzy_clusters,
+    "vectors_reduced": reduced_vectors,
     "metrics_repeats": repeat_statistics,
     "metrics_rater_agreement": rater_agreement,
     "metrics_majority": majority_votes,

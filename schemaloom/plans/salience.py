@@ -18,7 +18,7 @@ def triples(spark: SparkSession, d: str) -> DataFrame:
 
 def background(spark: SparkSession, d: str) -> DataFrame:
     once = deliver_once(table(spark, d, "enwiki"), "sent_id", ["sent_id", "text"])
-    return op.term_counts(once.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")), "word")
+    return op.term_counts(once.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")), "word")
 
 
 def stop_words(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +105,7 @@ t AS (SELECT sent_id,
   coalesce(starts_with(regexp_replace(s.verb.lemma, '^{B}+', ''), '!'), false) AS negated,
   nullif(lower(trim(regexp_replace(s.obj.text, '{B}+', ' ', 'g'))), '') AS obj FROM triple WHERE s IS NOT NULL)
 """
-_SAL = TRIPLES + """, words AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM (SELECT DISTINCT sent_id, text FROM enwiki)),
+_SAL = TRIPLES + """, words AS (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS term FROM (SELECT DISTINCT sent_id, text FROM enwiki)),
 bg AS (SELECT term, count(*) AS background FROM words GROUP BY term),
 verb AS (SELECT lemma AS term, count(*) AS freq FROM t WHERE lemma IS NOT NULL GROUP BY 1),
 head AS (SELECT string_split(obj, ' ')[-1] AS term, count(*) AS freq FROM t WHERE obj IS NOT NULL GROUP BY 1),

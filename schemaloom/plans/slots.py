@@ -14,12 +14,13 @@ VERB_WEIGHT, TYPE_WEIGHT = 3.0, 1.0
 
 
 def slot_rows(spark: SparkSession, d: str) -> DataFrame:
-    """``vo, sample, slot``: the words of three letters and more of each sentence linked to a top pair."""
+    """``vo, sample, slot``: the words, no stop words, of each sentence linked to a top pair, in small letters."""
     linked = salience.pair_sentences(spark, d).select(F.concat_ws(" ", "lemma", "head").alias("vo"), F.col("sent_id").alias("sample"))
     tokens = deliver_once(table(spark, d, "corpus_parsed_svo"), "sent_id", ["sent_id", "token_list"])
-    words = tokens.select(F.col("sent_id").alias("sample"), F.array_distinct(F.filter("token_list", lambda t: t.rlike("^[a-z]{3,}$"))).alias("words"))
+    words = tokens.select(F.col("sent_id").alias("sample"), F.array_distinct(F.transform(F.filter("token_list", lambda t: t.rlike(r"^\p{L}+$")), lambda t: F.lower(t))).alias("words"))
     # Counted, normalised and joined with itself by what follows, so it is written once.
-    return linked.join(words, "sample").select("vo", "sample", F.explode("words").alias("slot")).checkpoint()
+    rows = linked.join(words, "sample").select("vo", "sample", F.explode("words").alias("slot"))
+    return rows.join(salience.stop_words(spark, d).select(F.col("term").alias("slot")), "slot", "left_anti").select("vo", "sample", "slot").checkpoint()
 
 
 def slot_tfidf(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +90,7 @@ QUERIES = {
 
 _SLOTS = salience._SAL + """, tok AS (SELECT DISTINCT sent_id, token_list FROM corpus_parsed_svo),
 link AS (SELECT DISTINCT b.lemma || ' ' || b.head AS vo, p.sent_id AS sample FROM best b JOIN pairs p ON p.lemma = b.lemma AND p.head = b.head),
-slot AS (SELECT DISTINCT vo, sample, slot FROM (SELECT vo, sample, unnest(token_list) AS slot FROM link JOIN tok ON tok.sent_id = sample) WHERE regexp_full_match(slot, '[a-z]{3,}')),
+slot AS (SELECT DISTINCT vo, sample, lower(slot) AS slot FROM (SELECT vo, sample, unnest(token_list) AS slot FROM link JOIN tok ON tok.sent_id = sample) WHERE regexp_full_match(slot, '\\p{L}+') AND lower(slot) NOT IN (SELECT term FROM stop)),
 loc AS (SELECT vo, slot, count(*) AS local FROM slot GROUP BY ALL), ov AS (SELECT slot, sum(local)::BIGINT AS overall FROM loc GROUP BY ALL),
 tf AS (SELECT vo, slot, local, overall, round((1 + pow(log10(local), 2)) * log10((SELECT count(DISTINCT (vo, sample)) FROM slot)::DOUBLE / overall), 4) AS tfidf FROM loc JOIN ov USING (slot)),
 sc AS (SELECT *, round((tfidf - min(tfidf) OVER w) / nullif(max(tfidf) OVER w - min(tfidf) OVER w, 0), 4) AS score FROM tf WINDOW w AS (PARTITION BY vo))

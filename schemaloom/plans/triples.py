@@ -35,7 +35,7 @@ def vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 def background_terms(spark: SparkSession, d: str) -> DataFrame:
     once = deliver_once(table(spark, d, "enwiki"), "sent_id", ["sent_id", "text"])
-    return once.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term")).distinct()
+    return once.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("term")).distinct()
 
 
 def known(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +124,7 @@ QUERIES = {
 }
 
 _W = salience.TRIPLES + """, w AS (SELECT lemma AS predicate, subj AS subject, obj AS object, count(*) AS weight FROM t WHERE lemma IS NOT NULL AND subj IS NOT NULL AND obj IS NOT NULL GROUP BY ALL),
-bgw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM (SELECT DISTINCT sent_id, text FROM enwiki)),
+bgw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS term FROM (SELECT DISTINCT sent_id, text FROM enwiki)),
 stop AS (SELECT DISTINCT lower(word) AS term FROM common_words),
 mem AS (SELECT DISTINCT predicate AS cluster, 'subject' AS role, subject AS member FROM w UNION SELECT DISTINCT predicate, 'object', object FROM w)
 """
