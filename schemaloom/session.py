@@ -35,7 +35,7 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("SCHEMALOOM_CHECKPOINTS")
-        if not shared and not context.master.startswith("local"):
+        if not shared and context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="schemaloom-"))
     return spark

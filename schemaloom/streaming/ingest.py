@@ -27,6 +27,12 @@ def window_counts(rows: DataFrame, width: str = "1 hour", lateness: str = "2 hou
         F.col("window.start").alias("start"), "dataset", "n", "n_chars")
 
 
+def too_late(rows: DataFrame, arrived: str = "arrived_at", seen: str = "_seen_at", lateness: str = "2 hours") -> DataFrame:
+    """Rows that the watermark would drop, for a table of their own: ``arrived`` lies more than ``lateness`` before ``seen``, the time the
+    row was read (put there with ``F.current_timestamp()``). Nothing that comes late is lost, it is only counted apart."""
+    return rows.where(F.col(arrived) < F.col(seen) - F.expr(f"interval {lateness}"))
+
+
 def cleaned(rows: DataFrame) -> DataFrame:
     return with_filters(rows.where("text is not null"), "text", F.col("dataset").endswith("_zh")).where("not too_long and not too_numeric")
 
