@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from schemaloom.operators.corpus import seeded_sample
 from schemaloom.operators.ranking import ranked
 
 MAX_ARGUMENT = 32
@@ -26,6 +27,15 @@ def prompt_line(event_type: Column, trigger: Column, target: Column, arguments:
     return F.lower(F.concat_ws(" ", trigger, target, F.lit("&"), type_name(event_type), F.array_join(arguments, " ")))
 
 
+def without_blanks(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)\s+", "")
+
+
+def sentence_line(text: Column, event_type: Column, roles: Column) -> Column:
+    """``sentence & type role ...``: a whole sentence, without blanks, in place of verb and object."""
+    return F.lower(F.concat_ws(" ", without_blanks(text), F.lit("&"), type_name(event_type), F.array_join(roles, " ")))
+
+
 def bounded_rows(df: DataFrame, most: int) -> list:
     rows = df.limit(most + 1).collect()
     if len(rows) > most:

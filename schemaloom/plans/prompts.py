@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.operators import prompts as op
+from schemaloom.plans import salience
 from schemaloom.plans.salience import top_pairs
 from schemaloom.session import deliver_once, table
 
@@ -66,7 +67,19 @@ def exemplar_batches(spark: SparkSession, d: str) -> DataFrame:
     return op.batches(rows, "event_type", "ordinal").groupBy("event_type", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("inst_id").alias("first_inst"))
 
 
+def sentence_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts that show whole sentences: five drawn exemplar sentences and the sentence to be read, without blanks in Chinese."""
+    gold = deliver_once(table(spark, d, "train_event_list"), "inst_id", ["inst_id", "text", "event_list"])
+    typed = gold.where("text is not null").select("inst_id", "text", F.explode("event_list").alias("e")).where("e.event_type is not null")
+    lines = op.sentence_line(F.col("text"), F.col("e.event_type"), F.transform(F.filter("e.arguments", lambda a: a["role"].isNotNull()), lambda a: a["role"]))
+    rows = typed.select(op.type_group(F.col("e.event_type")).alias("event_group"), lines.alias("line"))
+    wanted = deliver_once(table(spark, d, "corpus"), "sent_id", ["sent_id", "text", "dataset"]).where("text is not null and dataset like '%zh'")
+    targets = op.seeded_sample(wanted, "sent_id", 100).select(op.without_blanks(F.col("text")).alias("sentence"))
+    return op.prompts(op.exemplar_choice(rows, targets, "event_group", "line", "sentence", 5))
+
+
 QUERIES = {
+    "prompt_sentences": sentence_prompts,
     "prompt_arguments": english_arguments,
     "prompt_role_sets": role_sets,
     "prompt_exemplars": exemplars,
@@ -86,7 +99,17 @@ first_ent AS (SELECT inst_id, m.id AS id, arg_min(struct_pack(k := m.mention_typ
 joined AS (SELECT arg.inst_id, event_no::INT AS event_no, event_type, trigger, arg_no::INT AS arg_no, a.role AS role, a.text AS text, mention_type
   FROM arg JOIN first_ent f ON f.inst_id = arg.inst_id AND f.id = a.entity_id WHERE mention_type IS NULL OR mention_type <> 'PRO')
 """
+_CHOICE = salience._SAL + ", " + _ARGS.strip()[5:] + """, ln AS (SELECT DISTINCT regexp_split_to_array(event_type, '[:-]')[1] AS g,
+  lower(trigger || ' ' || arg_min(text, arg_no) || ' & ' || regexp_split_to_array(event_type, '[:-]')[-1] || ' ' || string_agg(role, ' ' ORDER BY arg_no)) AS line
+  FROM joined WHERE role IS NOT NULL AND text IS NOT NULL GROUP BY inst_id, event_no, event_type, trigger),
+rk AS (SELECT g, line, row_number() OVER (PARTITION BY g ORDER BY md5(line), line) AS r FROM ln), sz AS (SELECT g, count(*) AS s FROM rk GROUP BY g),
+tg AS (SELECT DISTINCT lemma || ' ' || head AS vo FROM best),
+dr AS (SELECT vo, g, s, md5('1234-' || vo || '-' || g) AS h, row_number() OVER (PARTITION BY vo ORDER BY md5('1234-' || vo || '-' || g), g) AS n FROM tg CROSS JOIN sz QUALIFY n <= 5),
+ch AS (SELECT vo AS target, n::INT AS n, dr.g AS event_group, line FROM dr JOIN rk ON rk.g = dr.g AND rk.r = ('0x' || substr(h, 1, 8))::BIGINT % s + 1)
+"""
 SQL = {
+    "prompt_choice": _CHOICE + "SELECT * FROM ch",
+    "prompt_table": _CHOICE + "SELECT target, string_agg(line, chr(10) ORDER BY n) || chr(10) || target || ' &' AS prompt FROM ch GROUP BY target",
     "prompt_arguments": _ARGS + "SELECT * FROM joined",
     "prompt_role_sets": """WITH gold AS (SELECT DISTINCT inst_id, event_mentions FROM train_oneie), e AS (SELECT unnest(event_mentions) AS e FROM gold),
 r AS (SELECT event_type, a.role AS role FROM (SELECT e.event_type AS event_type, unnest(e.arguments) AS a FROM e)), c AS (SELECT event_type, role, count(*) AS n FROM r WHERE event_type IS NOT NULL AND role IS NOT NULL GROUP BY ALL)

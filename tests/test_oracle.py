@@ -7,8 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.oracle import compare, connect
 
-SLOW = {"graph_whispers", "graph_components"}  # many rounds of small jobs: covered by tests of their own
-CORE = [n for part in entry.PARTS if "llm" not in part.__name__ for n in part.QUERIES if n not in SLOW]
+CORE = [n for part in entry.PARTS if "llm" not in part.__name__ for n in part.QUERIES]
 
 
 @pytest.fixture(scope="module")
