@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,7 +23,9 @@ REPLACED = {"math": "formula", "code": "codice"}
 MAGIC = re.compile(r"__[A-Z]+__")
 TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 COMMENT = re.compile(r"<!--.*?-->", re.S)
-EXTERNAL = re.compile(r"\[(?:https?|ftp):[^\s\]]+(?:\s+([^\]]*))?\]")
+EXTERNAL = re.compile(r"\[((?:https?|ftp):[^\s\]]+)(?:\s+([^\]]*))?\]")
+IMAGE = re.compile(r"https?://\S+\.(?:gif|png|jpe?g)", re.I)
+LINK_TAG = re.compile(r"<(?:a href=|/a>|img src=).*", re.S)
 HEADING = re.compile(r"^(={2,6})\s*(.*?)\s*\1$")
 
 
@@ -62,27 +66,62 @@ def internal_links(text: str, namespaces: frozenset[str] = frozenset({"w", "wikt
     return "".join(out) + text[at:]
 
 
-def plain_text(page: str) -> str:
+def external_links(text: str, keep_links: bool = False) -> str:
+    """``[url label]`` becomes its label, or a link of HTML; a label that is the address of an image shows nothing without links."""
+
+    def shown(m: re.Match) -> str:
+        url, label = m.group(1), (m.group(2) or "").strip()
+        if IMAGE.fullmatch(label):
+            label = f'<img src="{label}" alt="">' if keep_links else ""
+        return f'<a href="{quote(url, safe=":/?&=#%")}">{label}</a>' if keep_links else label
+
+    return EXTERNAL.sub(shown, text)
+
+
+def without_quotes(text: str) -> str:
+    """Bold goes; what is in italics is quoted, once."""
+    text = re.sub(r"'{5}(.*?)'{5}", r"\1", text)
+    text = re.sub(r"'{3}(.*?)'{3}", r"\1", text)
+    text = re.sub(r"''\"([^\"]*)\"''", r'"\1"', text)
+    text = re.sub(r"''(.*?)''", r'"\1"', text)
+    text = re.sub(r'""([^"]*)""', r'"\1"', text)
+    return text.replace("'''", "").replace("''", '"')
+
+
+def placeholders(text: str) -> str:
+    """Formulas and code as numbered words; equal ones share a number."""
+    for tag, word in REPLACED.items():
+        seen: dict[str, str] = {}
+        for m in re.finditer(rf"<{tag}\b[^<>]*>.*?</{tag}\s*>", text, re.I | re.S):
+            seen.setdefault(m.group(), f"{word}_{len(seen) + 1}")
+        for old, new in seen.items():
+            text = text.replace(old, new)
+    return text
+
+
+def plain_text(page: str, expand: Callable[[str], str] | None = None, keep_links: bool = False, html_safe: bool = False) -> str:
+    """Markup to text: calls of templates are dropped, or expanded by ``expand``."""
     text = COMMENT.sub("", page)
-    text = without_nested(text, "{{", "}}")
+    text = expand(text) if expand else without_nested(text, "{{", "}}")
     text = without_nested(text, "{|", "|}")
-    text = EXTERNAL.sub(lambda m: m.group(1) or "", text)
+    text = external_links(text, keep_links)
     text = internal_links(text)
     text = MAGIC.sub("", text)
     text = html.unescape(html.unescape(text))
-    text = re.sub(r"'{2,5}", "", text)
+    text = without_quotes(text)
     text = COMMENT.sub("", text)
     for tag in EMPTY:
         text = re.sub(rf"<{tag}\b[^<>]*/\s*>|<{tag}>(?=\s|$)", "", text, flags=re.I)
     for tag in DROPPED:
         text = re.sub(rf"<{tag}\b[^<>]*>.*?</{tag}\s*>", "", text, flags=re.I | re.S)
-    for tag, word in REPLACED.items():
-        text = re.sub(rf"<{tag}\b[^<>]*>.*?</{tag}\s*>", word, text, flags=re.I | re.S)
-    text = TAG.sub("", text)
+    text = placeholders(text)
+    text = TAG.sub(lambda m: m.group() if keep_links and LINK_TAG.fullmatch(m.group()) else "", text)
     text = text.replace("<<", "«").replace(">>", "»").replace("\t", " ")
     text = re.sub(r" +", " ", text)
+    text = re.sub(r"\.{4,}", "...", text)
     text = re.sub(r"(?:\(\s*[,;]*\s*\)|\[\s*\])", "", text)
-    return re.sub(r" ([,.:;?!])", r"\1", text)
+    text = re.sub(r" ([,.:;?!])", r"\1", text).replace(",,", ",").replace(",.", ".")
+    return html.escape(text, quote=False) if html_safe else text
 
 
 def compact_lines(text: str) -> list[str]:

@@ -62,3 +62,71 @@ def windows(df: DataFrame, tokens: str, size: int = WINDOW, step: int = STEP) ->
     last = F.greatest(F.ceil((F.size(tokens) - size) / step), F.lit(0)).cast("int")
     numbered = df.withColumn("window_no", F.explode(F.sequence(F.lit(0), last)))
     return numbered.withColumn("begin", F.col("window_no") * step).withColumn("window", F.slice(tokens, F.col("begin") + 1, size))
+
+
+def chunked(words: list[list[int]], most: int = WINDOW) -> tuple[list[list[int]], list[tuple[int, int, int]]]:
+    """``(chunks, spans)`` of words cut into pieces: chunks of at most ``most`` pieces, each beginning with the last half of the one
+    before; of each word the chunk, the first piece and the end. No word is cut unless it is longer than a chunk."""
+    chunks: list[list[int]] = []
+    chunk: list[int] = []
+    spans = []
+    for pieces in words:
+        if chunk and len(chunk) + len(pieces) > most:
+            chunks.append(chunk)
+            chunk = chunk[-(most // 2) :] if most // 2 else []
+            if len(chunk) + len(pieces) > most:
+                chunk = []
+        spans.append((len(chunks), len(chunk), len(chunk) + len(pieces)))
+        chunk = chunk + list(pieces)
+    return chunks + [chunk], spans
+
+
+def word_vectors(df: DataFrame, tokens: str, load: Callable[[], tuple[Callable[[str], list[int]], Callable[[list[int]], np.ndarray]]], out: str = "vectors") -> DataFrame:
+    """``df`` with a vector for each token: the mean of its pieces' vectors, from the chunk that it is whole in.
+
+    ``load`` gives, once a task, a function from a word to its pieces and one from the pieces of a chunk to a vector
+    each. A token without pieces has a vector of zeros; null arrays stay null.
+    """
+    kept = [c for c in df.columns if c != out]
+    schema = T.StructType([*df.select(*kept).schema.fields, T.StructField(out, T.ArrayType(T.ArrayType(T.FloatType())))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut, encode = load()
+        for part in batches:
+            found = []
+            for words in part[tokens]:
+                if words is None:
+                    found.append(None)
+                    continue
+                chunks, spans = chunked([cut(w) if w is not None else [] for w in words])
+                encoded = [np.asarray(encode(c), np.float32) for c in chunks]
+                size = next((e.shape[1] for e in encoded if e.size), 0)
+                found.append([encoded[c][a:b].mean(0).tolist() if b > a else [0.0] * size for c, a, b in spans])
+            yield part.assign(**{out: pd.Series(found, index=part.index, dtype=object)})
+
+    return df.select(*kept).mapInPandas(run, schema)
+
+
+def masked_expansions(df: DataFrame, item: str, tokens: str, index: str, load: Callable[[], Callable[[list[str]], list]], k: int = 50, mask: str = "[MASK]") -> DataFrame:
+    """``item, place, word, prob``: the ``k`` words that a masked model finds likeliest in place of the token at ``index`` (from 0).
+
+    The model gives (word, probability) pairs for each sentence, in any order; equal ones go by the word. An index outside
+    of the sentence gives nothing.
+    """
+    inside = df.where((F.col(index) >= 0) & (F.col(index) < F.size(tokens)))
+    words = F.transform(tokens, lambda w, i: F.when(i == F.col(index), F.lit(mask)).otherwise(F.lower(w)))
+    asked = inside.select(item, F.array_join(words, " ").alias("_masked"))
+    said = apply_model(asked, "_masked", load, "_said", "array<struct<word:string,prob:double>>")
+    best = F.slice(F.array_sort(F.transform("_said", lambda x: F.struct((-x["prob"]).alias("p"), x["word"].alias("w")))), 1, k)
+    return said.select(item, F.posexplode(best).alias("place", "x")).select(item, "place", F.col("x.w").alias("word"), (-F.col("x.p")).alias("prob"))
+
+
+def network_similarity(pairs: DataFrame, senses: DataFrame, paths: DataFrame) -> DataFrame:
+    """``a, b, similarity``: the greatest similarity between a sense of each word of a pair, 0 where there is none.
+
+    ``senses`` is ``word, sense``, ``paths`` is ``s, t, similarity`` (either order). Words have few senses, so joins by word stay small.
+    """
+    one = pairs.select("a", "b").distinct().join(senses.select(F.col("word").alias("a"), F.col("sense").alias("s")), "a", "left").join(senses.select(F.col("word").alias("b"), F.col("sense").alias("t")), "b", "left")
+    both = paths.select("s", "t", "similarity").unionByName(paths.select(F.col("t").alias("s"), F.col("s").alias("t"), "similarity")).groupBy("s", "t").agg(F.max("similarity").alias("_p"))
+    met = one.join(both, ["s", "t"], "left").withColumn("_p", F.when(F.col("s") == F.col("t"), F.lit(1.0)).otherwise(F.coalesce("_p", F.lit(0.0))))
+    return met.groupBy("a", "b").agg(F.max("_p").alias("similarity"))

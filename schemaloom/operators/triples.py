@@ -85,8 +85,10 @@ def purity_scores(members: DataFrame, gold: DataFrame) -> DataFrame:
     Both have ``cluster, element``; predicted clusters of a single element count nothing.
     """
     predicted = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    joined = members.alias("m").join(gold.alias("g"), F.col("m.element") == F.col("g.element"))
-    overlap = joined.groupBy(F.col("m.cluster").alias("p"), F.col("g.cluster").alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    # Members are counted before they meet, so an element that is often in a cluster makes one row a side.
+    one, two = (df.groupBy("cluster", "element").agg(F.count(F.lit(1)).alias("n")).alias(a) for df, a in ((members, "m"), (gold, "g")))
+    joined = one.join(two, F.col("m.element") == F.col("g.element"))
+    overlap = joined.groupBy(F.col("m.cluster").alias("p"), F.col("g.cluster").alias("g")).agg(F.sum(F.col("m.n") * F.col("g.n")).alias("n"))
     best = overlap.join(predicted.where("size > 1"), overlap["p"] == predicted["cluster"]).groupBy("p").agg(F.max("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("a"))
     inverse = overlap.groupBy("g").agg(F.max("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("b"))
     total, golds = members.agg(F.count(F.lit(1))).scalar(), gold.agg(F.count(F.lit(1))).scalar()
@@ -95,6 +97,34 @@ def purity_scores(members: DataFrame, gold: DataFrame) -> DataFrame:
     return row.select(F.round(pu, 6).alias("purity"), F.round(ipu, 6).alias("inverse_purity"), F.round(F.try_divide(2 * pu * ipu, pu + ipu), 6).alias("f1"))
 
 
+def normalised_purity(members: DataFrame, gold: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """A row a group of ``by`` (one row without): normalised modified purity, inverse purity and F1.
+
+    Both tables have ``cluster, element`` and the columns ``by``. An element in several clusters shares its weight of 1
+    among them; predicted clusters of one element count nothing. Weights meet by (cluster, element), so repeated
+    members are summed first.
+    """
+    by = by or []
+
+    def weighted(df: DataFrame) -> DataFrame:
+        own = df.groupBy(*by, "cluster", "element").agg(F.count(F.lit(1)).alias("n"))
+        total = own.groupBy(*by, "element").agg(F.sum("n").alias("_all"))
+        return own.join(total, [*by, "element"]).select(*by, "cluster", "element", (F.col("n") / F.col("_all")).alias("w"))
+
+    p, g = weighted(members), weighted(gold)
+    sized = p.groupBy(*by, "cluster").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").select(*by, F.col("cluster").alias("p"))
+    met = p.withColumnsRenamed({"cluster": "p", "w": "wp"}).join(g.withColumnsRenamed({"cluster": "g", "w": "wg"}), [*by, "element"])
+    overlap = met.groupBy(*by, "p", "g").agg(F.sum("wp").alias("wp"), F.sum("wg").alias("wg"))
+    best = overlap.join(sized, [*by, "p"], "left_semi").groupBy(*by, "p").agg(F.max("wp").alias("m")).groupBy(*by).agg(F.sum("m").alias("a"))
+    inverse = overlap.groupBy(*by, "g").agg(F.max("wg").alias("m")).groupBy(*by).agg(F.sum("m").alias("b"))
+    n_p, n_g = p.groupBy(*by).agg(F.sum("w").alias("np")), g.groupBy(*by).agg(F.sum("w").alias("ng"))
+    rows = n_p.withColumn("_k", F.lit(1))
+    for one in (n_g, best, inverse):
+        rows = rows.join(one.withColumn("_k", F.lit(1)), [*by, "_k"], "left")
+    pu, ipu = F.coalesce(F.col("a") / F.col("np"), F.lit(0.0)), F.coalesce(F.col("b") / F.col("ng"), F.lit(0.0))
+    return rows.select(*by, F.round(pu, 6).alias("purity"), F.round(ipu, 6).alias("inverse_purity"), F.round(F.try_divide(2 * pu * ipu, pu + ipu), 6).alias("f1"))
+
+
 def purity_bootstrap(members: DataFrame, gold: DataFrame, draws: int = 1000, seed: int = 1337) -> DataFrame:
     """``draw, purity, inverse_purity, f1``: the scores of ``purity_scores`` over predicted clusters drawn with replacement.
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from schemaloom.operators.ranking import ranked
+
 BLOCK, ROWS_A_BLOCK, LEAST_BLOCKS = 2048, 20_000, 3
 
 
@@ -71,6 +73,24 @@ def nearest(df: DataFrame, item: str, vector: str, queries: DataFrame, k: int =
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def concatenated(*parts: Column) -> Column:
+    """Vectors one after the other, each brought to unit length first; null if one is."""
+
+    def unit(v: Column) -> Column:
+        length = F.sqrt(dot(v, v))
+        return F.transform(v, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double")))
+
+    return F.concat(*(unit(v) for v in parts))
+
+
+def by_centre(df: DataFrame, item: str, vector: str, cluster: str) -> DataFrame:
+    """``cluster, item, rank, distance``: the members of each cluster by their distance from its mean, the nearest first."""
+    means = packed(mean_vectors(df, cluster, vector), cluster).withColumnRenamed("vector", "_mean")
+    gap = F.zip_with(vector, "_mean", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y))
+    rows = df.join(means, cluster).withColumn("distance", F.round(F.sqrt(F.aggregate(gap, F.lit(0.0), lambda a, x: a + x)), 6))
+    return ranked(rows.select(cluster, item, "distance"), [cluster], [F.col("distance"), F.col(item)]).select(cluster, item, "rank", "distance")
+
+
 def rank_biased_overlap(a: Column, b: Column, depth: int) -> Column:
     """Mean agreement of the two lists' heads over depths 1 to ``depth`` (persistence 1)."""
     at = lambda n: F.size(F.array_intersect(F.slice(a, 1, n), F.slice(b, 1, n))) / n

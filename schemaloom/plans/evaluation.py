@@ -63,6 +63,10 @@ def reduced_vectors(spark: SparkSession, d: str) -> DataFrame:
     return op.mean_vectors(rows, "label", "vector").select("label", "place", F.round("mean", 4).alias("mean"))
 
 
+def members_by_centre(spark: SparkSession, d: str) -> DataFrame:
+    return op.by_centre(embeddings(spark, d), "vec_id", "embedding", "label")
+
+
 def repeat_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Mean and population deviation of the similarity to the own label's mean."""
     rows = nearest_label(spark, d)
@@ -130,6 +134,7 @@ QUERIES = {
     "metrics_comparison": method_comparison,
     "vectors_fuzzy_clusters": fuzzy_clusters,
     "vectors_reduced": reduced_vectors,
+    "vectors_by_centre": members_by_centre,
     "metrics_repeats": repeat_statistics,
     "metrics_rater_agreement": rater_agreement,
     "metrics_majority": majority_votes,
@@ -156,6 +161,9 @@ SELECT query, item, rank, round(s, 5) AS similarity FROM (SELECT a.vec_id AS que
 row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.vec_id)::INT AS rank FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE rank <= 10""",
     "vectors_label_means": _NEAR + "SELECT label, (i - 1)::INT AS place, round(m, 6) AS mean FROM c",
     "vectors_nearest_label": _NEAR + "SELECT * FROM near",
+    "vectors_by_centre": _NEAR
+    + """, ds AS (SELECT label, vec_id, round(list_distance(e, cv), 6) AS distance FROM v JOIN cv ON label = pred)
+SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rank, distance FROM ds""",
     "metrics_repeats": _NEAR + "SELECT label, round(avg(similarity), 5) AS mean, round(stddev_pop(similarity), 5) AS std, count(*) AS n FROM near GROUP BY label",
     "metrics_cluster_scores": _NEAR + """, t AS (SELECT label AS g, pred AS p, count(*)::DOUBLE AS n FROM near GROUP BY ALL),
 g AS (SELECT g, sum(n) AS gn FROM t GROUP BY g), p AS (SELECT p, sum(n) AS pn FROM t GROUP BY p), k AS (SELECT sum(n) AS t FROM t),

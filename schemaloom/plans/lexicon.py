@@ -92,7 +92,20 @@ def pairs_sharing_two(spark: SparkSession, d: str) -> DataFrame:
     return triples.sharing_two(rows, "name", PLACES)
 
 
+def role_purity(spark: SparkSession, d: str) -> DataFrame:
+    """Triples in frames by their subject, measured against frames by the last word of their object: for verbs, objects and both."""
+    rows = weighted(spark, d).withColumn("gold", F.element_at(F.split("object", " "), -1))
+    kinds = F.explode(F.array(F.struct(F.lit("verb").alias("role"), F.col("predicate").alias("element")), F.struct(F.lit("object").alias("role"), F.col("object").alias("element"))))
+
+    def frames(key: str) -> DataFrame:
+        own = rows.select(F.col(key).alias("cluster"), kinds.alias("x")).select("cluster", "x.role", "x.element").distinct()
+        return own.unionByName(own.select("cluster", F.lit("frame").alias("role"), F.concat_ws(":", "role", "element").alias("element")))
+
+    return triples.normalised_purity(frames("subject"), frames("gold"), ["role"])
+
+
 QUERIES = {
+    "frames_role_purity": role_purity,
     "frames_role_units": role_units,
     "frames_triples": frame_triples,
     "frames_pre_frames": pre_frame_rows,
@@ -123,6 +136,16 @@ _F = _P.replace("WITH ", "WITH RECURSIVE ", 1) + """, step(verb, place, used, f,
 fin AS (SELECT verb, used, len(f) AS n_features FROM step QUALIFY place = max(place) OVER (PARTITION BY verb)), pf AS (SELECT * FROM fin WHERE contains(used, ', '))
 """
 SQL = {
+    "frames_role_purity": _W
+    + """, src AS (SELECT subject AS p, string_split(object, ' ')[-1] AS g, predicate, object FROM w),
+el AS (SELECT p, g, 'verb' AS role, predicate AS element FROM src UNION ALL SELECT p, g, 'object', object FROM src UNION ALL SELECT p, g, 'frame', 'verb:' || predicate FROM src UNION ALL SELECT p, g, 'frame', 'object:' || object FROM src),
+mp AS (SELECT role, cluster, element, 1.0::DOUBLE / count(*) OVER (PARTITION BY role, element) AS w FROM (SELECT DISTINCT role, p AS cluster, element FROM el)),
+mg AS (SELECT role, cluster, element, 1.0::DOUBLE / count(*) OVER (PARTITION BY role, element) AS w FROM (SELECT DISTINCT role, g AS cluster, element FROM el)),
+ov AS (SELECT role, a.cluster AS p, b.cluster AS g, sum(a.w) AS wp, sum(b.w) AS wg FROM mp a JOIN mg b USING (role, element) GROUP BY ALL),
+big AS (SELECT role, cluster AS p FROM mp GROUP BY ALL HAVING count(*) > 1),
+pu AS (SELECT role, sum(m) AS a FROM (SELECT role, p, max(wp) AS m FROM ov SEMI JOIN big USING (role, p) GROUP BY ALL) GROUP BY role), ip AS (SELECT role, sum(m) AS b FROM (SELECT role, g, max(wg) AS m FROM ov GROUP BY ALL) GROUP BY role),
+np AS (SELECT role, sum(w) AS np FROM mp GROUP BY role), ng AS (SELECT role, sum(w) AS ng FROM mg GROUP BY role)
+SELECT role, round(a / np, 6) AS purity, round(b / ng, 6) AS inverse_purity, round(2 * (a / np) * (b / ng) / (a / np + b / ng), 6) AS f1 FROM np JOIN ng USING (role) JOIN pu USING (role) JOIN ip USING (role)""",
     "frames_role_units": _R + "SELECT frame, role, string_agg(unit || ':' || n, ', ' ORDER BY n DESC, unit) AS units, sum(n)::BIGINT AS n FROM cn GROUP BY frame, role",
     "frames_triples": _R + """, sz AS (SELECT frame, role, sum(n) AS size FROM cn GROUP BY ALL HAVING sum(n) >= 10), en AS (SELECT frame FROM sz GROUP BY frame HAVING count(*) >= 3),
 tp AS (SELECT frame, role, row_number() OVER (PARTITION BY frame ORDER BY size DESC, role) AS place FROM sz WHERE role <> 'FEE' AND frame IN (SELECT frame FROM en)),
