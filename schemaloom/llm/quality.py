@@ -29,6 +29,7 @@ IDEOGRAPH = f"[{HAN}{KANA}]"
 CYRILLIC, DEVANAGARI = r"\x{400}-\x{52F}", r"\x{900}-\x{97F}"
 WORD = rf"{IDEOGRAPH}|[\p{{L}}\p{{M}}\p{{N}}&&[^{HAN}{KANA}]]+(?:['’][\p{{L}}\p{{M}}]+)*"
 NO_SYMBOL = rf"[\s\p{{Z}}\p{{L}}\p{{M}}\p{{N}}{HAN}{TEXT_MARKS}]+"
+SYMBOL = rf"[^\s\p{{Z}}\p{{L}}\p{{M}}\p{{N}}{HAN}{TEXT_MARKS}]"
 NO_VOWEL = r"(?<![\p{L}\p{N}])[b-df-hj-np-tv-xz]{3,}(?![\p{L}\p{N}.])"
 OVERLONG = rf"[\p{{L}}\p{{N}}&&[^{HAN}{KANA}]]{{25,}}"
 CELL_EDGE = r"\s*[|│;；,，、·\t&•/]\s*|\s{2,}"
@@ -66,6 +67,11 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def where(there: Column, count: Column) -> Column:
+    """``count``, which is 0 unless ``there``; a cheap look spares the costly search."""
+    return F.when(there, count).otherwise(F.lit(0))
+
+
 def extent(text: Column) -> Column:
     """Length of a piece of text in words; an ideograph is 0.6 of a word."""
     return count_of(text, WORD) - 0.4 * count_of(text, IDEOGRAPH)
@@ -80,21 +86,24 @@ def text_statistics(df: DataFrame, text: str, common: dict[str, list[str]]) -> D
     df = df.withColumn("_t", F.when(plain.rlike(r"[^\t-\r\x1c-\x20\x85\p{Z}]"), plain))
     df = df.withColumn("_words", F.regexp_extract_all(F.lower("_t"), F.lit(WORD), F.lit(0)))
     df = df.withColumn("_lines", F.filter(F.transform(F.split("_t", r"[\n\r]+"), lambda x: F.regexp_replace(x, r"^[\p{Z}\s]+|[\p{Z}\s]+$", "")), lambda x: x != ""))
+    df = df.withColumns({"_wide": F.col("_t").rlike(IDEOGRAPH), "_beyond": F.col("_t").rlike(r"[^\x00-\x7F]")})
     n_words = F.size("_words")
     marks = F.char_length(F.regexp_replace("_t", r"[\s\p{Z}]+", ""))
     hits = {}
     for lang, words in common.items():
         if any(is_cjk(w) for w in words):
             pattern = "|".join(sorted(words, key=lambda w: (-len(w), w)))
-            hits[lang] = count_of(F.lower("_t"), pattern)
+            there = F.col("_wide") if all(is_cjk(w) or is_kana(w) for w in words) else F.lit(True)
+            hits[lang] = where(there, count_of(F.lower("_t"), pattern))
         else:
-            hits[lang] = F.size(F.filter("_words", is_one_of(words)))
+            there = F.lit(True) if any(w.isascii() for w in words) else F.col("_beyond")
+            hits[lang] = where(there, F.size(F.filter("_words", is_one_of(words))))
     df = df.withColumn("_hits", F.array(*(F.struct(h.alias("n"), F.lit(lang).alias("lang")) for lang, h in hits.items())))
     best = F.array_max("_hits")
     sure = ratio(best["n"], n_words) >= LEAST_COMMON
-    han = ratio(characters_of(F.col("_t"), HAN + KANA), marks)
-    kana = characters_of(F.col("_t"), KANA)
-    cyrillic, indic = (ratio(characters_of(F.col("_t"), s), marks) for s in (CYRILLIC, DEVANAGARI))
+    han = ratio(where(F.col("_wide"), characters_of(F.col("_t"), HAN + KANA)), marks)
+    kana = where(F.col("_wide"), characters_of(F.col("_t"), KANA))
+    cyrillic, indic = (ratio(where(F.col("_beyond"), characters_of(F.col("_t"), s)), marks) for s in (CYRILLIC, DEVANAGARI))
     df = df.withColumns({
         "lang_guess": F.when((han > 0.3) & (kana > 0), "ja").when(han > 0.3, "zh").when(indic > 0.3, "hi").when(cyrillic > 0.3, "ru")
                        .when(sure, best["lang"]).otherwise(NO_LANGUAGE),
@@ -106,13 +115,13 @@ def text_statistics(df: DataFrame, text: str, common: dict[str, list[str]]) -> D
         "_cells": F.transform("_open", lambda x: F.when(x.rlike(QUOTE), F.array(F.lit(99.0))).otherwise(F.transform(F.split(x, CELL_EDGE), extent))),
     })
     # Words of small letters without a vowel, no abbreviations, or words longer than any language's words.
-    odd = count_of(F.col("_t"), NO_VOWEL) + count_of(F.col("_t"), OVERLONG)
+    odd = count_of(F.col("_t"), NO_VOWEL) + where(F.exists("_words", lambda w: F.length(w) >= 25), count_of(F.col("_t"), OVERLONG))
     is_row = lambda c: (F.size(c) > 2) & (F.array_max(c) <= ITEM_EXTENT)
     known = F.col("_t").isNotNull()
     stats = {
         "n_words": n_words.cast("double"),
         "mean_word_length": ratio(F.aggregate("_words", F.lit(0), lambda a, w: a + F.length(w)), n_words),
-        "symbol_ratio": F.when(n_words == 0, F.lit(1.0)).otherwise(ratio(F.char_length(F.regexp_replace("_t", NO_SYMBOL, "")), marks)),
+        "symbol_ratio": F.when(n_words == 0, F.lit(1.0)).otherwise(ratio(where(F.col("_t").rlike(SYMBOL), F.char_length(F.regexp_replace("_t", NO_SYMBOL, ""))), marks)),
         "digit_ratio": ratio(characters_of(F.col("_t"), r"\p{N}"), marks),
         "line_end_share": ratio(F.size("_lines") - F.size("_open"), F.size("_lines")),
         "common_share": ratio(F.coalesce(best["n"], F.lit(0)), n_words),
@@ -123,7 +132,11 @@ def text_statistics(df: DataFrame, text: str, common: dict[str, list[str]]) -> D
         "cell_line_share": ratio(F.size(F.filter("_cells", is_row)), F.size("_lines")),
     }
     df = df.withColumns({k: F.when(known, v) for k, v in stats.items()})
-    return df.drop("_t", "_words", "_lines", "_hits", "_open", "_brief", "_cells")
+    return df.drop("_t", "_words", "_wide", "_beyond", "_lines", "_hits", "_open", "_brief", "_cells")
+
+
+def is_kana(word: str) -> bool:
+    return any("\u3041" <= c <= "\u30ff" for c in word)
 
 
 def is_cjk(word: str) -> bool:
