@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.operators.ranking import ranked
+from schemaloom.session import with_checkpoints
 
 BACKGROUND_SIZE = 1e8
 
@@ -31,6 +32,8 @@ def top_terms(scored: DataFrame, stop: DataFrame, ratio: float, min_freq: int) -
 
     Stop words don't use up the budget. A budget of 0 takes all terms. The most salient come first.
     """
+    with_checkpoints(scored.sparkSession)
+    scored = scored.checkpoint()  # a row a term: counted, numbered and filtered by what follows
     budget = int(scored.count() * ratio)
     kept = scored.join(stop.select("term"), "term", "left_anti")
     # The budget is a share of the vocabulary, so the best are numbered in place and not gathered.

@@ -20,6 +20,7 @@ SUBJECT = {"nsubj", "nsubjpass", "csubj", "csubjpass", "agent", "expl"}
 OBJECT = {"dobj", "dative", "attr", "oprd"}
 AUXILIARY = {"aux", "auxpass"}
 BREAKERS = {"CCONJ", "VERB"}
+CONJUNCTIONS = {"and", "or", "nor", "but", "yet", "so", "for"}
 NEGATIONS = {"no", "not", "n't", "never", "none"}
 
 
@@ -49,6 +50,11 @@ class Sentence:
     def negated(self, t: Token) -> bool:
         return any(c.text.lower() in NEGATIONS for c in self.children[t.i])
 
+    def has_conjunction(self, t: Token, strict: bool = False) -> bool:
+        """Whether something right of ``t`` on it coordinates: a conjunction, or unless ``strict`` the label alone."""
+        right = [c for c in self.children[t.i] if c.i > t.i]
+        return any(c.text.lower() in CONJUNCTIONS for c in right) or not strict and any(c.dep == "conj" for c in right)
+
     def joined(self, heads: list[Token]) -> list[Token]:
         """``heads`` and what is coordinated with them."""
         out, todo = [], list(heads)
@@ -56,6 +62,8 @@ class Sentence:
             t = todo.pop(0)
             if t not in out:
                 out.append(t)
+                if not self.has_conjunction(t):
+                    continue
                 todo += [c for c in self.children[t.i] if c.dep == "conj" and c.pos in ("NOUN", "PROPN", "PRON")]
         return out
 
@@ -87,11 +95,14 @@ class Sentence:
         return self.joined(found)
 
     def span(self, t: Token) -> dict:
-        """The phrase of ``t``: what hangs on it, without coordinated parts and clauses."""
+        """The phrase of ``t``: what hangs on it, without coordinated parts, clauses and negations. A "that" stands for what its
+        clause hangs on."""
+        if t.text.lower() == "that":
+            t = next((self.tokens[x.head] for x in self.tokens if any(c.i < x.i and c.text.lower() == "that" for c in self.children[x.i])), t)
         held, todo = {t.i}, [t]
         while todo:
             for c in self.children[todo.pop().i]:
-                if c.pos not in BREAKERS and c.dep != "conj" and c.i not in held:
+                if c.pos not in BREAKERS and c.dep != "conj" and c.text.lower() not in NEGATIONS and c.i not in held:
                     held.add(c.i)
                     todo.append(c)
         index = sorted(held)

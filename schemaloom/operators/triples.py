@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.operators.ranking import ranked
@@ -60,9 +60,9 @@ def repeated(df: DataFrame, times: Column) -> DataFrame:
 
 
 def largest(df: DataFrame, key: str, size: str, tie: str, n: int) -> DataFrame:
-    """The ``n`` largest rows of each key, numbered by ``place``."""
-    w = Window.partitionBy(key).orderBy(F.desc(size), tie)
-    return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    """The ``n`` largest rows of each key, numbered by ``place``; a key with most rows is numbered in several tasks."""
+    numbered = ranked(df, [key], [F.desc(size), F.col(tie)], "place")
+    return numbered.withColumn("place", F.col("place").cast("int")).where(F.col("place") <= n)
 
 
 def frame_members(triples: DataFrame, cluster: str, columns: dict[str, str]) -> DataFrame:

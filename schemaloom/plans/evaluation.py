@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.operators import clustering, metrics, triples
 from schemaloom.operators import vectors as op
+from schemaloom.operators.ranking import ranked
 from schemaloom.plans.triples import frame_clusters
 from schemaloom.session import deliver_once, table
 
@@ -119,8 +120,7 @@ def expansion_weights(spark: SparkSession, d: str) -> DataFrame:
     rows = deliver_once(table(spark, d, "corpus"), "sent_id", ["sent_id", "text", "dataset", "arrived_at"])
     words = rows.select("dataset", F.trunc("arrived_at", "month").alias("month"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("term"))
     counted = words.groupBy("dataset", "month", "term").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("dataset", "month").orderBy(F.desc("n"), "term")
-    top = counted.withColumn("rank", F.row_number().over(w)).where("rank <= 50")
+    top = ranked(counted, ["dataset", "month"], [F.desc("n"), F.col("term")]).where("rank <= 50")
     lists = top.groupBy("dataset", "month").agg(F.array_sort(F.collect_list(F.struct("rank", "term")))["term"].alias("terms"))
     return op.reciprocal_rank_weights(lists, "dataset", "terms").select("dataset", "term", "rank", F.round("weight", 6).alias("weight"))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from schemaloom.operators.ranking import ranked
 from schemaloom.operators.triples import at_least, without_pos
 from schemaloom.sources import schemas
 
@@ -60,6 +61,15 @@ def wiki_dump(spark: SparkSession, path: str, namespaces: tuple[str, ...] = (),
         F.format_string(f"{url_base}?curid=%s", F.col("id").cast("string")).alias("url"), "title", F.col("revision.text").alias("text"))
 
 
+def wiki_pages(spark: SparkSession, path: str, namespaces: tuple[str, ...] = (), url_base: str = "") -> DataFrame:
+    """As ``wiki_dump``, without pages of a namespace that repeat the id of the page kept before them."""
+    rows = wiki_dump(spark, path, namespaces, url_base).withColumn("_row", F.monotonically_increasing_id())
+    numbered = ranked(rows, [], [F.col("_row")], "_n")
+    before = numbered.select((F.col("_n") + 1).alias("_n"), F.col("id").alias("_last"))
+    kept = numbered.join(before, "_n", "left").where(~F.col("title").contains(":") | ~F.col("id").eqNullSafe(F.col("_last")))
+    return kept.select("id", "revid", "url", "title", "text")
+
+
 def wiki_templates(spark: SparkSession, path: str, prefix: str = "Template:") -> DataFrame:
     """Definitions of templates: ``name, body, target`` (``target`` for a redirect)."""
     rows = spark.read.format("xml").schema(schemas.WIKI_XML).option("rowTag", "page").load(path).where(F.col("title").startswith(prefix))
@@ -132,9 +142,10 @@ def ratings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def conll(spark: SparkSession, path: str) -> DataFrame:
-    """Dependency sentences: ``sentence, src, token, lemma, pos, dep, dst`` a row an edge, and the frame comments.
+    """Dependency sentences: ``sentence, src, token, lemma, pos, dep, dst`` a row an edge, for files with relations before heads.
 
-    A token of several heads (joined by ``|``) gives a row for each.
+    A token of several heads (joined by ``|``) gives a row for each; equal sentences share an id. ``lexical.sentences``
+    with ``dependencies`` and ``frame_roles`` read files with heads first, keep equal sentences apart and the frames.
     """
     blocks = text_blocks(spark, path).withColumn("sentence", F.xxhash64("block"))
     lines = blocks.select("sentence", F.explode(F.split("block", "\n")).alias("line"))

@@ -180,3 +180,11 @@ def test_streaming(spark, tmp_path):
     stream = ingest.cleaned(ingest.once_each(ingest.arriving(spark, str(tmp_path / "in")))).select("sent_id", "text")
     ingest.into_table(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     assert [r["sent_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
+
+
+def test_that_stands_for_its_antecedent_and_negations_stay_out():
+    rows = [("the", "the", "DET", "det", 1), ("dog", "dog", "NOUN", "nsubj", 4), ("that", "that", "PRON", "nsubj", 3), ("barked", "bark", "VERB", "relcl", 1), ("chased", "chase", "VERB", "ROOT", 4), ("no", "no", "DET", "det", 6), ("cats", "cat", "NOUN", "dobj", 4), ("and", "and", "CCONJ", "cc", 6), ("birds", "bird", "NOUN", "conj", 6)]
+    s = svo_rules.Sentence([dict(zip(("text", "lemma", "pos", "dep", "head"), r)) for r in rows])
+    assert s.span(s.tokens[2])["text"] == "the dog"
+    assert s.span(s.tokens[6])["text"] == "cats" and s.has_conjunction(s.tokens[6], True) and not s.has_conjunction(s.tokens[1])
+    assert [o.text for o in s.objects(s.tokens[4], False)] == ["cats", "birds"]

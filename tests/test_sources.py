@@ -43,6 +43,12 @@ def test_wiki_dump(spark, tmp_path):
     assert readers.site_info(spark, path).first()["namespaces"] == ["Talk"]
 
 
+def test_pages_that_repeat_the_one_before(spark, tmp_path):
+    pages = [("A", 1), ("A", 1), ("Help:C", 3), ("Help:C", 3), ("Help:D", 4), ("Help:C", 3)]
+    (tmp_path / "d.xml").write_text("<mediawiki>" + "".join(PAGE.format(t=t, i=i, r="", v=10 + n, x="x") for n, (t, i) in enumerate(pages)) + "</mediawiki>")
+    assert sorted(r["revid"] for r in readers.wiki_pages(spark, str(tmp_path / "d.xml"), ("Help",)).collect()) == ["10", "11", "12", "14", "15"]
+
+
 def test_news_xml(spark, tmp_path):
     (tmp_path / "2001/x").mkdir(parents=True)
     (tmp_path / "2001/x/a.xml").write_text("<nitf><title>T</title><hl1>H</hl1><p> one </p><p>two</p></nitf>")
