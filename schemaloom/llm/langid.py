@@ -41,6 +41,7 @@ RIDGE = 0.3
 CHUNK_CHARS = 200_000
 # Bits of an n-gram's key; the rest number the units of a chunk.
 KEY_BITS = 42
+SLOT_BITS = 17
 
 # Opening and closing quotation marks.
 QUOTED = re.compile("\"[^\"\n]+\"|“[^“”\n]+”|„[^„“”\n]+[“”]|«[^«»\n]+»|「[^「」\n]+」|『[^『』\n]+』")
@@ -66,6 +67,11 @@ def units_of(text: str) -> list[tuple[int, int, str]]:
     Pieces too short to be a sentence (abbreviations, numbers) go with the next one; a piece over MAX_UNIT
     characters is cut at a blank.
     """
+    return [unit[:3] for unit in weighed_units(text)]
+
+
+def weighed_units(text: str) -> list[tuple[int, int, str, int]]:
+    """``units_of`` with the weight of each."""
     bare = QUOTED.sub(lambda m: m.group() if stands_alone(text, m.start(), m.end()) else " " * len(m.group()), text)
     if not any(c.isalpha() for c in bare):
         bare = text
@@ -74,19 +80,20 @@ def units_of(text: str) -> list[tuple[int, int, str]]:
         if m.end() > edges[-1]:
             edges.append(m.end())
     edges.append(len(bare))
-    out: list[tuple[int, int, str]] = []
+    out: list[tuple[int, int, str, int]] = []
     start, pieces = 0, list(zip(edges, edges[1:]))
     for i, (_, end) in enumerate(pieces):
         piece = bare[start:end]
-        if weight(piece) < LEAST_SENTENCE and i + 1 < len(pieces) and "\n" not in piece:
+        heavy = weight(piece)
+        if heavy < LEAST_SENTENCE and i + 1 < len(pieces) and "\n" not in piece:
             continue
         while end - start > MAX_UNIT:
             gap = WORD_GAP.search(bare, start + MAX_UNIT - 200, start + MAX_UNIT)
             cut = gap.end() if gap else start + MAX_UNIT
-            out.append((start, cut, bare[start:cut]))
-            start = cut
-        if any(c.isalpha() for c in bare[start:end]):
-            out.append((start, end, bare[start:end]))
+            out.append((start, cut, bare[start:cut], weight(bare[start:cut])))
+            start, heavy = cut, -1
+        if heavy > 0 or any(c.isalpha() for c in bare[start:end]):
+            out.append((start, end, bare[start:end], heavy if heavy >= 0 else weight(bare[start:end])))
         start = end
     return out
 
@@ -138,13 +145,26 @@ def grams(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (both >> np.uint64(KEY_BITS)).astype(np.int64), both & np.uint64((1 << KEY_BITS) - 1)
 
 
+def places_of(key: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """The place of each key in the sorted ``vocabulary``, -1 if it isn't there. Keys are hashes, so their first bits tell
+    where to look, and few entries share them."""
+    begin = np.searchsorted(vocabulary, np.arange((1 << SLOT_BITS) + 1, dtype=np.uint64) << np.uint64(KEY_BITS - SLOT_BITS))
+    at = begin[(key >> np.uint64(KEY_BITS - SLOT_BITS)).astype(np.int64)]
+    padded = np.concatenate([vocabulary, np.full(int(np.diff(begin).max(initial=0)) + 1, np.uint64((1 << 63) - 1))])
+    out = np.full(len(key), -1)
+    for step in range(int(np.diff(begin).max(initial=0))):
+        hit = padded[at + step] == key
+        out[hit] = at[hit] + step
+    return out
+
+
 def presence_product(row: np.ndarray, key: np.ndarray, n: int, vocabulary: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Presence matrix (``n`` units by vocabulary) times ``weights``, each row over the root of its number of n-grams."""
     out = np.zeros((n, weights.shape[1]), np.float32)
     size = np.bincount(row, minlength=n)
-    at = np.minimum(np.searchsorted(vocabulary, key), len(vocabulary) - 1)
-    known = vocabulary[at] == key
-    row, at = row[known], at[known]
+    place = places_of(key, vocabulary)
+    known = place >= 0
+    row, at = row[known], place[known]
     if len(row):
         starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         out[row[starts]] = np.add.reduceat(weights[at], starts, axis=0)
@@ -225,7 +245,7 @@ def training_units(documents: DataFrame, item: str, text: str, label: str, per_l
         for batch in batches:
             rows = []
             for h, body, lang in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                found = [u for _, _, u in units_of(body) if weight(u) >= 20]
+                found = [u for _, _, u, w in weighed_units(body) if w >= 20]
                 rows += [(h, lang, found[(h + k * 7919) % len(found)]) for k in range(min(2, len(found)))]
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))], names=["h", "label", "unit"])
@@ -277,9 +297,9 @@ def identify(documents: DataFrame, kept: list[str], text: str, model: LanguageMo
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                cut = [units_of(t) if t else [] for t in batch.column(len(kept)).to_pylist()]
+                cut = [weighed_units(t) if t else [] for t in batch.column(len(kept)).to_pylist()]
                 flat = [u for units in cut for u in units]
-                scores = model.scores([u for _, _, u in flat])
+                scores = model.scores([u for _, _, u, _ in flat])
                 order = np.argsort(scores, axis=1)
                 best = order[:, -1] if len(flat) else np.zeros(0, int)
                 place = np.arange(len(flat))
@@ -289,8 +309,8 @@ def identify(documents: DataFrame, kept: list[str], text: str, model: LanguageMo
                 out, k = [], 0
                 for units in cut:
                     segments, size, trust, used = [], {}, {}, {}
-                    for start, end, words in units:
-                        lang, w = str(names[best[k]]), weight(words)
+                    for start, end, _, w in units:
+                        lang = str(names[best[k]])
                         size[lang], trust[lang] = size.get(lang, 0) + w, trust.get(lang, 0.0) + w * float(sure[k])
                         certain = bool(gap[k] >= margin and w >= LEAST_SENTENCE)
                         if certain:
