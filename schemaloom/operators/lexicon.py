@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from schemaloom.operators.triples import generalised
+from schemaloom.operators.triples import generalised, normalised_purity
 
 # Tags (also in place of a lemma) and lemmas of words that tell nothing.
 SKIP_POS = ("-lrb-", "-LRB-", "-RRB-", "-rrb-", "-lsb-", "-LSB-", "-rsb-", "-RSB-", "SYM", "SY")
@@ -183,6 +183,12 @@ def restricted_clusters(members: DataFrame, lexicon: DataFrame) -> DataFrame:
     return members.join(lexicon.select("member").distinct(), "member", "left_semi").select("cluster", "member")
 
 
+def verb_class_purity(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Normalised purity of clusters of verbs (``cluster, element``) against verb classes; verbs without a class leave the clusters first."""
+    known = restricted_clusters(members.withColumnRenamed("element", "member"), classes.select(F.col("element").alias("member")))
+    return normalised_purity(known.withColumnRenamed("member", "element"), classes)
+
+
 def whole_frame(triples: DataFrame, columns: dict[str, str]) -> DataFrame:
     """``cluster, role, member``: all triples as one frame, the baseline that puts everything together."""
     from schemaloom.operators.triples import frame_members

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW, STEP = 510, 255
+MOST_WORDS = 256
 
 
 def apply_model(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list]], out: str, kind: str, batch: int = 256) -> DataFrame:
@@ -64,6 +66,44 @@ def windows(df: DataFrame, tokens: str, size: int = WINDOW, step: int = STEP) ->
     return numbered.withColumn("begin", F.col("window_no") * step).withColumn("window", F.slice(tokens, F.col("begin") + 1, size))
 
 
+@dataclass(frozen=True)
+class Generation:
+    """How a generating model is asked: most new words, sampling, sequences a prompt, beams. More than MOST_WORDS are refused."""
+
+    length: int = 64
+    sample: bool = True
+    sequences: int = 3
+    beams: int = 1
+
+    def __post_init__(self) -> None:
+        if not 0 < self.length <= MOST_WORDS or self.sequences < 1 or self.beams < 1:
+            raise ValueError(f"length from 1 to {MOST_WORDS}, at least one sequence and beam")
+
+
+def generated(df: DataFrame, prompt: str, load: Callable[[], Callable[[list[str], Generation], list[list[str]]]], how: Generation = Generation(), batch: int = 16) -> DataFrame:
+    """``df`` with ``sequence_no, raw``: a row a completion of ``prompt``. ``load`` is called once a task, so that a model is loaded once
+    or a client of a hosted one is opened; a null prompt, or one that the model can't take (RuntimeError), has no rows."""
+    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string("sequence_no int, raw string").fields])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+
+        def ask(texts: list[str]) -> list[list[str]]:
+            try:
+                return model(texts, how)
+            except RuntimeError:
+                return [[]] if len(texts) == 1 else [ask([t])[0] for t in texts]
+
+        for part in batches:
+            kept = part[part[prompt].notna()]
+            said = [s for i in range(0, len(kept), batch) for s in ask(kept[prompt].tolist()[i : i + batch])]
+            count = [len(s) for s in said]
+            out = kept.loc[kept.index.repeat(count)]
+            yield out.assign(sequence_no=np.concatenate([np.arange(c) for c in count] or [np.zeros(0)]).astype("int32"), raw=pd.Series([x for s in said for x in s], index=out.index, dtype=object))
+
+    return df.mapInPandas(run, schema)
+
+
 def chunked(words: list[list[int]], most: int = WINDOW) -> tuple[list[list[int]], list[tuple[int, int, int]]]:
     """``(chunks, spans)`` of words cut into pieces: chunks of at most ``most`` pieces, each beginning with the last half of the one
     before; of each word the chunk, the first piece and the end. No word is cut unless it is longer than a chunk."""

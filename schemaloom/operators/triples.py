@@ -139,7 +139,8 @@ def purity_bootstrap(members: DataFrame, gold: DataFrame, draws: int = 1000, see
     clusters = ranked(sized.withColumn("best", F.when(F.col("size") > 1, F.col("best")).otherwise(0)), [], [F.col("p")]).checkpoint()
     count, golds = clusters.agg(F.count(F.lit(1))).scalar(), gold.agg(F.count(F.lit(1))).scalar()
     picks = clusters.select("rank", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    picks = picks.select("draw", (F.pmod(F.xxhash64(F.lit(seed), "draw", "rank"), count) + 1).alias("rank")).distinct()
+    drawn_number = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("draw").cast("string"), F.col("rank").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    picks = picks.select("draw", (F.pmod(drawn_number, count) + 1).alias("rank")).distinct()
     drawn = picks.join(clusters, "rank").select("draw", "p", "size", "best").checkpoint()
     pu = drawn.groupBy("draw").agg((F.sum(F.coalesce("best", F.lit(0))) / F.sum("size")).alias("purity"))
     most = drawn.join(overlap, "p").groupBy("draw", "g").agg(F.max("n").alias("n"))

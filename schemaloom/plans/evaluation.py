@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from schemaloom.operators import clustering, metrics, triples
 from schemaloom.operators import vectors as op
 from schemaloom.operators.ranking import ranked
-from schemaloom.plans.triples import frame_clusters
+from schemaloom.plans.triples import _W, frame_clusters
 from schemaloom.session import deliver_once, table
 
 
@@ -156,6 +156,13 @@ per AS (SELECT item, vote, count(*) AS n FROM vote GROUP BY ALL),
 maj AS (SELECT item, vote, n, sum(n) OVER (PARTITION BY item)::BIGINT AS n_votes FROM per QUALIFY row_number() OVER (PARTITION BY item ORDER BY n DESC, vote) = 1)
 """
 SQL = {
+    "metrics_bootstrap": _W
+    + """, o AS (SELECT predicate AS p, subject AS g, count(*) AS n FROM w GROUP BY ALL), sz AS (SELECT p, sum(n)::DOUBLE AS size, max(n) AS best FROM o GROUP BY p),
+cl AS (SELECT p, size, CASE WHEN size > 1 THEN best ELSE 0 END AS best, row_number() OVER (ORDER BY p) AS r FROM sz), k AS (SELECT count(*) AS k FROM cl), gd AS (SELECT count(*)::DOUBLE AS golds FROM w),
+dr AS (SELECT DISTINCT d AS draw, ('0x' || substr(md5('1337-' || d || '-' || r), 1, 8))::BIGINT % k + 1 AS r FROM range(1, 1001) t(d), cl, k),
+pk AS (SELECT draw, p, size, best FROM dr JOIN cl USING (r)), pu AS (SELECT draw, sum(best) / sum(size) AS pu FROM pk GROUP BY draw),
+ip AS (SELECT draw, sum(n) / any_value(golds) AS ipu FROM (SELECT draw, g, max(n) AS n FROM pk JOIN o USING (p) GROUP BY draw, g), gd GROUP BY draw)
+SELECT draw::INT AS draw, round(2 * pu * ipu / (pu + ipu), 6) AS f1 FROM pu JOIN ip USING (draw)""",
     "vectors_nearest": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
 SELECT query, item, rank, round(s, 5) AS similarity FROM (SELECT a.vec_id AS query, b.vec_id AS item, round(list_cosine_similarity(a.e, b.e), 9) AS s,
 row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.vec_id)::INT AS rank FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE rank <= 10""",

@@ -104,7 +104,19 @@ def role_purity(spark: SparkSession, d: str) -> DataFrame:
     return triples.normalised_purity(frames("subject"), frames("gold"), ["role"])
 
 
+def verb_purity(spark: SparkSession, d: str) -> DataFrame:
+    """Verbs in classes by their most frequent subject, measured against classes by their most frequent object."""
+    rows = weighted(spark, d)
+
+    def classes(place: str) -> DataFrame:
+        best = triples.largest(triples.merged(rows, ["predicate", place], "weight"), "predicate", "weight", place, 1)
+        return best.select(F.col(place).alias("cluster"), F.col("predicate").alias("element"))
+
+    return op.verb_class_purity(classes("subject"), classes("object"))
+
+
 QUERIES = {
+    "frames_verb_purity": verb_purity,
     "frames_role_purity": role_purity,
     "frames_role_units": role_units,
     "frames_triples": frame_triples,
@@ -136,6 +148,12 @@ _F = _P.replace("WITH ", "WITH RECURSIVE ", 1) + """, step(verb, place, used, f,
 fin AS (SELECT verb, used, len(f) AS n_features FROM step QUALIFY place = max(place) OVER (PARTITION BY verb)), pf AS (SELECT * FROM fin WHERE contains(used, ', '))
 """
 SQL = {
+    "frames_verb_purity": _W
+    + """, c AS (SELECT predicate AS e, arg_max(subject, struct_pack(n := n, t := -r)) AS p FROM (SELECT predicate, subject, sum(weight) AS n, row_number() OVER (ORDER BY subject) AS r FROM w GROUP BY predicate, subject) GROUP BY predicate),
+g AS (SELECT predicate AS e, arg_max(object, struct_pack(n := n, t := -r)) AS g FROM (SELECT predicate, object, sum(weight) AS n, row_number() OVER (ORDER BY object) AS r FROM w GROUP BY predicate, object) GROUP BY predicate),
+o AS (SELECT p, g, count(*)::DOUBLE AS n FROM c JOIN g USING (e) GROUP BY ALL), tot AS (SELECT count(*)::DOUBLE AS t FROM c),
+x AS (SELECT (SELECT sum(m) FROM (SELECT max(n) AS m FROM o GROUP BY p HAVING sum(n) > 1)) / t AS pu, (SELECT sum(m) FROM (SELECT max(n) AS m FROM o GROUP BY g)) / t AS ipu FROM tot)
+SELECT round(pu, 6) AS purity, round(ipu, 6) AS inverse_purity, round(2 * pu * ipu / (pu + ipu), 6) AS f1 FROM x""",
     "frames_role_purity": _W
     + """, src AS (SELECT subject AS p, string_split(object, ' ')[-1] AS g, predicate, object FROM w),
 el AS (SELECT p, g, 'verb' AS role, predicate AS element FROM src UNION ALL SELECT p, g, 'object', object FROM src UNION ALL SELECT p, g, 'frame', 'verb:' || predicate FROM src UNION ALL SELECT p, g, 'frame', 'object:' || object FROM src),

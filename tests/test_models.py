@@ -58,3 +58,19 @@ def test_markup_details():
     assert plain_text("[http://a.b/c x y] [http://a.b http://i.j/k.png] [http://q.r]") == "x y "
     assert plain_text("[http://a.b/c x]", keep_links=True) == '<a href="http://a.b/c">x</a>'
     assert plain_text("a <b>c</b> & d", html_safe=True) == "a c &amp; d" and plain_text("{{x}}!", lambda t: t.replace("{{x}}", "y")) == "y!"
+
+
+def test_generation(spark):
+    def load():
+        def model(texts, how):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("too long")
+            return [[f"{t} {how.length} {i}" for i in range(how.sequences)] for t in texts]
+
+        return model
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "bad"), (4, "b")], "i int, prompt string")
+    rows = models.generated(df, "prompt", load, models.Generation(length=8, sequences=2)).orderBy("i", "sequence_no").collect()
+    assert [(r["i"], r["sequence_no"], r["raw"]) for r in rows] == [(1, 0, "a 8 0"), (1, 1, "a 8 1"), (4, 0, "b 8 0"), (4, 1, "b 8 1")]
+    with pytest.raises(ValueError):
+        models.Generation(length=257)
