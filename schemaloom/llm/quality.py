@@ -19,7 +19,7 @@ from schemaloom.session import deliver_once
 
 MAX_COMMON_WORDS = 50_000
 # What ends a sentence or a quotation at the end of a line, and what may open or close around it.
-LINE_END = r"""[.!?…。！？．।॥؟:：;；][”"'’»」』）)\]]*$"""
+LINE_END = r"""[.!?…。！？．।॥؟:：;；][”"'’»“」』）)\]]*$"""
 BULLET = r"^(?:[-–—•·►▪◦*‣]|\(?\p{L}[.)]|\(\p{L}\)|\(?\d{1,3}[.)]|[一二三四五六七八九十]{1,3}、)\s*"
 # Punctuation of running text; other marks that are neither letter nor digit count as symbols.
 TEXT_MARKS = r""".,:;!?'"’‘“”„«»()¿¡、。，！？：；「」『』（）．…–—।\-‐‑％%$€£§№º°"""
@@ -34,7 +34,7 @@ NO_VOWEL = r"(?<![\p{L}\p{N}])[b-df-hj-np-tv-xz]{3,}(?![\p{L}\p{N}.])"
 OVERLONG = rf"[\p{{L}}\p{{N}}&&[^{HAN}{KANA}]]{{25,}}"
 CELL_EDGE = r"\s*[|│;；,，、·\t&•/]\s*|\s{2,}"
 QUOTE = r"[«»“”„\"「」]"
-ITEM_EXTENT = 4.5
+ITEM_EXTENT, A_FEW = 4.5, 5
 NO_LANGUAGE, LEAST_COMMON = "und", 0.1
 INVISIBLE = r"[\x{AD}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}\x{FE00}-\x{FE0F}]"
 
@@ -116,6 +116,8 @@ def text_statistics(df: DataFrame, text: str, common: dict[str, list[str]]) -> D
     })
     # Words of small letters without a vowel, no abbreviations, or words longer than any language's words.
     odd = count_of(F.col("_t"), NO_VOWEL) + where(F.exists("_words", lambda w: F.length(w) >= 25), count_of(F.col("_t"), OVERLONG))
+    # One such word in a sentence is a misspelling.
+    odd = F.when((n_words > A_FEW) & (odd == 1), 0).otherwise(odd)
     is_row = lambda c: (F.size(c) > 2) & (F.array_max(c) <= ITEM_EXTENT)
     known = F.col("_t").isNotNull()
     stats = {
