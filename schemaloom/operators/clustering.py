@@ -92,6 +92,23 @@ def whispered(df: DataFrame, item: str, vector: str, k: int) -> DataFrame:
     return found.select(F.col("node").cast(kind).alias(item), F.col("label").alias("cluster"))
 
 
+def triple_vectors(triples: DataFrame, places: list[str], tables: list[DataFrame]) -> DataFrame:
+    """``triples`` with ``vector``: the vectors of its words one after the other, each of unit length. Every place has its table of
+    ``word, vector`` (they may be the same); triples with a word without one go."""
+    rows = triples
+    for i, (place, table) in enumerate(zip(places, tables, strict=True)):
+        rows = rows.join(table.select(F.col("word").alias(place), F.col("vector").alias(f"_v{i}")), place)
+    own = vectors.concatenated(*(F.col(f"_v{i}") for i in range(len(places))))
+    return rows.withColumn("vector", own).select(*triples.columns, "vector")
+
+
+def whispered_frames(triples: DataFrame, places: list[str], tables: list[DataFrame], k: int = 10) -> DataFrame:
+    """``triples`` with ``cluster``: label propagation on the graph of the ``k`` nearest triples."""
+    rows = triple_vectors(triples, places, tables).withColumn("_name", F.concat_ws("|", *places))
+    found = whispered(rows.select("_name", "vector").dropDuplicates(["_name"]), "_name", "vector", k)
+    return rows.join(found, "_name").select(*triples.columns, "cluster")
+
+
 # Clusterings by name: functions of (table, item, vector, k) to ``item, cluster``.
 METHODS: dict[str, Callable[[DataFrame, str, str, int], DataFrame]] = {
     "kmeans": vectors.k_means,

@@ -62,6 +62,23 @@ def bigram_jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)).cast("double")
 
 
+def same_bag(a: Column, b: Column) -> Column:
+    """1 where two arrays hold the same words equally often, else 0."""
+    return (F.array_sort(a) == F.array_sort(b)).cast("int")
+
+
+def lexical_overlap(a: Column, b: Column) -> Column:
+    """Equal pairs of two arrays over all pairs; null if one is empty."""
+    equal = F.aggregate(F.transform(a, lambda x: F.size(F.filter(b, lambda y: x == y))), F.lit(0), lambda s, n: s + n)
+    return F.try_divide(equal, F.size(a) * F.size(b))
+
+
+def type_similarity(a: Column, b: Column) -> Column:
+    """Overlap of the parts of two event names, parted at ``/`` alone; 0 where one begins with 'none'."""
+    one, two = F.split(F.lower(F.trim(a)), "/"), F.split(F.lower(F.trim(b)), "/")
+    return F.when((one[0] == "none") | (two[0] == "none"), 0.0).otherwise(lexical_overlap(one, two))
+
+
 def refined_event(event: Column, verb: Column, head: Column, similarity: Callable[[Column, Column], Column] = bigram_jaccard) -> Column:
     """``event, similarity`` of an event name: of the parts of a name with ``/``, else with ``-``, the one most like the verb
     or the head (the first of equals, none if no part is like either); a name nearer to the head than to the verb

@@ -48,6 +48,15 @@ def in_vocabulary(triples: DataFrame, columns: list[str], vocabulary: DataFrame)
     return triples
 
 
+# Pronouns and the like, which name nothing.
+PRONOUNS = ("i", "he", "she", "it", "they", "you", "this", "we", "them", "their", "us", "my", "those", "who", "what", "that", "which", "each", "some", "me", "one", "the")
+
+
+def without_pronouns(vocabulary: DataFrame, term: str = "term") -> DataFrame:
+    """A vocabulary without pronouns. It is only the vocabulary that loses them: triples keep theirs."""
+    return vocabulary.where(~F.lower(term).isin(*PRONOUNS))
+
+
 def vocabularies(triples: DataFrame, columns: list[str], weight: str) -> DataFrame:
     """``place, term, n``: total weight of every word in each place, in one pass over grouping sets."""
     unpivoted = triples.select(F.explode(F.array(*(F.struct(F.lit(c).alias("place"), F.col(c).alias("term")) for c in columns))).alias("x"), F.col(weight).alias("w"))

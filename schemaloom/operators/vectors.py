@@ -23,6 +23,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def cosine_distance(a: Column, b: Column) -> Column:
+    return 1 - cosine(a, b)
+
+
+def mean_distance(df: DataFrame, a: str, b: str, weight: str | None = None) -> DataFrame:
+    """``distance``: the mean cosine distance of two columns of vectors over all rows, by ``weight`` if given; rows without one go."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    gap = cosine_distance(F.col(a), F.col(b))
+    return df.where(gap.isNotNull()).agg(F.round(F.try_divide(F.sum(gap * w), F.sum(w)), 6).alias("distance"))
+
+
 def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """``key, place, mean``: the mean vector of each key, one row a coordinate."""
     return df.select(key, F.posexplode(vector).alias("place", "x")).groupBy(key, "place").agg(F.avg(F.col("x").cast("double")).alias("mean"))
@@ -114,24 +125,48 @@ def k_means(df: DataFrame, item: str, vector: str, k: int, seed: int = 1234) ->
 
 
 def ward(vectors: np.ndarray, k: int) -> np.ndarray:
-    """Agglomerative clustering by Ward's criterion into ``k`` clusters, for a few thousand rows at most."""
+    """Agglomerative clustering by Ward's criterion into ``k`` clusters, for a few thousand rows at most.
+
+    Chains of nearest neighbours find the merges in any order; the cheapest n - k of them are those of the plain way.
+    """
     n = len(vectors)
     if n > 5000:
         raise ValueError("Ward clustering holds all pairs: at most 5000 rows")
+    if not n:
+        return np.zeros(0, int)
     x = vectors.astype(float)
     sq = (x**2).sum(1)
     d = np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0) / 2
     np.fill_diagonal(d, np.inf)
-    size, label = np.ones(n), np.arange(n)
-    alive = np.ones(n, bool)
-    for _ in range(n - k):
-        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
-        s, (a, b) = size, (size[i], size[j])
-        merged = ((a + s) * d[i] + (b + s) * d[j] - s * d[i, j]) / (a + b + s)
-        d[i], d[:, i] = merged, merged
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        d[i, ~alive] = d[~alive, i] = np.inf
-        size[i], alive[j] = a + b, False
-        label[label == label[j]] = label[i]
-    return np.unique(label, return_inverse=True)[1]
+    size, alive, merges, chain = np.ones(n), np.ones(n, bool), [], []
+    while len(merges) < n - 1:
+        if not chain:
+            chain = [int(np.argmax(alive))]
+        i = chain[-1]
+        j = int(np.argmin(d[i]))
+        if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+            j = chain[-2]
+            del chain[-2:]
+            i, j = min(i, j), max(i, j)
+            merges.append((d[i, j], i, j))
+            s, a, b = size, size[i], size[j]
+            merged = ((a + s) * d[i] + (b + s) * d[j] - s * d[i, j]) / (a + b + s)
+            d[i], d[:, i] = merged, merged
+            size[i], alive[j] = a + b, False
+            d[i, i] = np.inf
+            d[j], d[:, j] = np.inf, np.inf
+            d[i, ~alive] = d[~alive, i] = np.inf
+        else:
+            chain.append(j)
+    home = np.arange(n)
+
+    def root(i: int) -> int:
+        while home[i] != i:
+            home[i] = home[home[i]]
+            i = home[i]
+        return i
+
+    for _, i, j in sorted(merges, key=lambda m: m[0])[: max(n - k, 0)]:
+        a, b = root(i), root(j)
+        home[max(a, b)] = min(a, b)
+    return np.unique([root(i) for i in range(n)], return_inverse=True)[1]

@@ -46,11 +46,8 @@ def kmeans_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def method_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """Clusterings of the vectors by different methods against their labels; those of all pairs take the query rows (id % 50)."""
-    rows = embeddings(spark, d)
-    few = rows.where("vec_id % 50 = 0")
-    paired = clustering.comparison(few, "vec_id", "embedding", "label", 10, ("agglomerative", "spectral", "density"))
-    return clustering.comparison(rows, "vec_id", "embedding", "label", 10, ("kmeans", "whispers")).unionByName(paired)
+    """Clusterings of the vectors by different methods against their labels."""
+    return clustering.comparison(embeddings(spark, d), "vec_id", "embedding", "label", 10, tuple(clustering.METHODS))
 
 
 def fuzzy_clusters(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,10 @@ from schemaloom.operators import triples
 from schemaloom.plans import prompts
 from schemaloom.plans.triples import PLACES, _W, weighted
 from schemaloom.session import deliver_once, table
+from schemaloom.sources.lexical import first_rows
+
+# Triples that the graph of shared places is made of: a bounded read, as in the reference.
+FIRST = 100_000
 
 
 def role_mentions(spark: SparkSession, d: str) -> DataFrame:
@@ -55,11 +59,9 @@ def features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def related(spark: SparkSession, d: str) -> DataFrame:
-    """``verb, sense, related, similarity``: verbs by the number of the 20 most frequent objects they share with each of the 20 most frequent verbs."""
-    by_verb = triples.merged(weighted(spark, d), ["predicate"], "weight")
-    lead = by_verb.orderBy(F.desc("weight"), "predicate").limit(20).select(F.col("predicate").alias("verb"))
+    """``verb, sense, related, similarity``: verbs by how many of their 20 most frequent objects they share, which is what makes them related."""
     objects = triples.largest(triples.merged(weighted(spark, d), ["predicate", "object"], "weight"), "predicate", "weight", "object", 20)
-    one = objects.select(F.col("predicate").alias("verb"), "object").join(lead, "verb", "left_semi")
+    one = objects.select(F.col("predicate").alias("verb"), "object")
     two = objects.select(F.col("predicate").alias("related"), "object")
     met = one.join(two, "object").where("verb <> related").groupBy("verb", "related").agg(F.count(F.lit(1)).alias("similarity"))
     return met.select("verb", F.lit(0).alias("sense"), "related", "similarity")
@@ -87,8 +89,8 @@ def whole_frame(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs_sharing_two(spark: SparkSession, d: str) -> DataFrame:
-    """Of the 500 heaviest triples, the pairs that agree in two of three places."""
-    rows = weighted(spark, d).orderBy(F.desc("weight"), *PLACES).limit(500).withColumn("name", F.concat_ws("|", *PLACES))
+    """Of the first FIRST triples by weight, the pairs that agree in two of three places."""
+    rows = first_rows(weighted(spark, d).withColumn("_order", -F.col("weight")), ["_order", *PLACES], FIRST).withColumn("name", F.concat_ws("|", *PLACES))
     return triples.sharing_two(rows, "name", PLACES)
 
 
@@ -133,9 +135,8 @@ un AS (SELECT event_type AS frame, role, lower(string_split(text, ' ')[-1]) AS u
 cn AS (SELECT frame, role, unit, count(*) AS n FROM un GROUP BY ALL)
 """
 _P = _W + """, feat AS (SELECT DISTINCT predicate AS verb, object AS feature FROM w),
-lead AS (SELECT predicate AS verb FROM w GROUP BY predicate ORDER BY sum(weight) DESC, predicate LIMIT 20),
 ob AS (SELECT predicate, object FROM w GROUP BY predicate, object QUALIFY row_number() OVER (PARTITION BY predicate ORDER BY sum(weight) DESC, object) <= 20),
-rel AS (SELECT a.predicate AS verb, b.predicate AS related, count(*) AS s FROM ob a JOIN ob b ON a.object = b.object AND a.predicate <> b.predicate WHERE a.predicate IN (SELECT verb FROM lead) GROUP BY ALL),
+rel AS (SELECT a.predicate AS verb, b.predicate AS related, count(*) AS s FROM ob a JOIN ob b ON a.object = b.object AND a.predicate <> b.predicate GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY verb ORDER BY s DESC, related) AS place FROM rel QUALIFY place <= 5),
 own AS (SELECT verb, list(feature) AS f FROM feat GROUP BY verb)
 """
@@ -178,6 +179,6 @@ SELECT cluster, 'predicates' AS role, predicate AS member FROM k UNION ALL SELEC
     "triples_common": _W + """, ds AS (SELECT DISTINCT sent_id, dataset FROM corpus), h AS (SELECT CASE WHEN dataset = 'wire_en' THEN 'wire' ELSE 'other' END AS side, lemma AS predicate, subj AS subject, obj AS object FROM t JOIN ds USING (sent_id)
   WHERE lemma IS NOT NULL AND subj IS NOT NULL AND obj IS NOT NULL AND dataset IS NOT NULL), c AS (SELECT side, predicate, subject, object, count(*) AS n FROM h GROUP BY ALL)
 SELECT c.* FROM c JOIN c o ON o.side <> c.side AND o.predicate = c.predicate AND o.subject = c.subject AND o.object = c.object""",
-    "triples_sharing_two": _W + """, top AS (SELECT *, predicate || '|' || subject || '|' || object AS name FROM w ORDER BY weight DESC, predicate, subject, object LIMIT 500)
+    "triples_sharing_two": _W + """, top AS (SELECT *, predicate || '|' || subject || '|' || object AS name FROM w ORDER BY weight DESC, predicate, subject, object LIMIT 100000)
 SELECT x.name AS a, y.name AS b FROM top x JOIN top y ON x.name < y.name AND ((x.predicate = y.predicate)::INT + (x.subject = y.subject)::INT + (x.object = y.object)::INT >= 2)""",
 }

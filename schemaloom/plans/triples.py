@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from schemaloom.operators import clustering, models
 from schemaloom.operators import triples as op
 from schemaloom.plans import salience
 from schemaloom.session import deliver_once, table
@@ -44,6 +45,21 @@ def known(spark: SparkSession, d: str) -> DataFrame:
     return op.in_vocabulary(rows, ["predicate", "head"], background_terms(spark, d)).select(*PLACES, "head", "weight")
 
 
+def all_known(spark: SparkSession, d: str) -> DataFrame:
+    """Triples whose predicate and last words of subject and object all are words of the background that are no pronouns."""
+    rows = weighted(spark, d).withColumn("subject_head", salience.op.head_of(F.col("subject"))).withColumn("object_head", salience.op.head_of(F.col("object")))
+    words = op.without_pronouns(background_terms(spark, d))
+    return op.in_vocabulary(rows, ["predicate", "subject_head", "object_head"], words).select(*PLACES, "weight")
+
+
+def whispered_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of the triples that occur twice by vectors of their words (a stand-in encoder's)."""
+    top = pruned(spark, d)
+    words = op.vocabularies(top, PLACES, "weight").select(F.col("term").alias("word")).distinct()
+    encoded = models.apply_model(words, "word", models.hashed_encoder(), "vector", "array<float>")
+    return clustering.whispered_frames(top, PLACES, [encoded] * 3, 10)
+
+
 def negated_only(spark: SparkSession, d: str) -> DataFrame:
     """(verb, object) pairs that occur negated and never otherwise."""
     rows = salience.triples(spark, d).where("lemma is not null and obj is not null")
@@ -111,6 +127,8 @@ QUERIES = {
     "triples_with_total": with_total,
     "triples_vocabulary": vocabulary,
     "triples_known": known,
+    "triples_all_known": all_known,
+    "frames_whispered": whispered_frames,
     "triples_negated_only": negated_only,
     "triples_both_ways": both_ways,
     "triples_shared_words": shared_words,
@@ -134,6 +152,10 @@ SQL = {
     "triples_with_total": _W + "SELECT *, sum(weight) OVER (PARTITION BY predicate)::BIGINT AS total FROM w",
     "triples_vocabulary": _W + "SELECT 'predicate' AS place, predicate AS term, sum(weight)::BIGINT AS n FROM w GROUP BY 2 UNION ALL SELECT 'subject', subject, sum(weight)::BIGINT FROM w GROUP BY 2 UNION ALL SELECT 'object', object, sum(weight)::BIGINT FROM w GROUP BY 2",
     "triples_known": _W + "SELECT *, string_split(object, ' ')[-1] AS head FROM w WHERE predicate IN (SELECT term FROM bgw) AND string_split(object, ' ')[-1] IN (SELECT term FROM bgw)",
+    "triples_all_known": _W
+    + f"""SELECT w.* FROM w WHERE predicate IN (SELECT term FROM kept) AND string_split(subject, ' ')[-1] IN (SELECT term FROM kept) AND string_split(object, ' ')[-1] IN (SELECT term FROM kept)""".replace(
+        "SELECT w.*", ", kept AS (SELECT term FROM bgw WHERE term NOT IN (" + ", ".join(f"'{p}'" for p in op.PRONOUNS) + ")) SELECT w.*", 1
+    ),
     "triples_negated_only": _W + "SELECT DISTINCT lemma, obj FROM t WHERE negated AND lemma IS NOT NULL AND obj IS NOT NULL EXCEPT SELECT lemma, obj FROM t WHERE NOT negated",
     "triples_both_ways": _W + "SELECT DISTINCT lemma, obj FROM t WHERE negated AND lemma IS NOT NULL AND obj IS NOT NULL INTERSECT SELECT lemma, obj FROM t WHERE NOT negated",
     "triples_shared_words": _W + "SELECT term FROM (SELECT DISTINCT string_split(obj, ' ')[-1] AS term FROM t WHERE obj IS NOT NULL INTERSECT SELECT term FROM bgw) UNION SELECT term FROM stop",

@@ -74,3 +74,19 @@ def test_empty(spark):
     none = spark.createDataFrame([], "i int, v array<double>")
     assert clustering.METHODS["spectral"](none, "i", "v", 3).count() == 0
     assert clustering.fuzzy_clusters(spark.createDataFrame([], "a string, b string, w double")).count() == 0
+
+
+def test_chains_of_neighbours_merge_as_the_plain_way():
+    from schemaloom.operators import vectors
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 3))
+    groups = [[i] for i in range(40)]
+    while len(groups) > 6:
+        cost = {(a, b): ((x[groups[a]].mean(0) - x[groups[b]].mean(0)) ** 2).sum() * len(groups[a]) * len(groups[b]) / (len(groups[a]) + len(groups[b])) for a, b in itertools.combinations(range(len(groups)), 2)}
+        a, b = min(cost, key=cost.get)
+        groups[a] += groups.pop(b)
+    gold = np.zeros(40, int)
+    for g, rows in enumerate(groups):
+        gold[rows] = g
+    assert same_parts(vectors.ward(x, 6), gold) and len(set(vectors.ward(x, 40))) == 40 and len(vectors.ward(x[:0], 3)) == 0

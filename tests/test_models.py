@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from schemaloom.functions.markup import plain_text
-from schemaloom.operators import models, triples, vectors
+from schemaloom.operators import clustering, harvest, models, triples, vectors
 
 
 def test_chunks_hold_words_whole():
@@ -74,3 +74,22 @@ def test_generation(spark):
     assert [(r["i"], r["sequence_no"], r["raw"]) for r in rows] == [(1, 0, "a 8 0"), (1, 1, "a 8 1"), (4, 0, "b 8 0"), (4, 1, "b 8 1")]
     with pytest.raises(ValueError):
         models.Generation(length=257)
+
+
+def test_bags_overlap_and_type_similarity(spark):
+    a, b = F.array(F.lit("x"), F.lit("y"), F.lit("x")), F.array(F.lit("y"), F.lit("x"), F.lit("x"))
+    row = spark.range(1).select(
+        harvest.same_bag(a, b).alias("same"), harvest.same_bag(a, F.array(F.lit("x"))).alias("other"), harvest.lexical_overlap(a, b).alias("overlap"),
+        harvest.type_similarity(F.lit("Go/Move "), F.lit("move")).alias("half"), harvest.type_similarity(F.lit("none/x"), F.lit("none/x")).alias("none")).first()
+    assert (row["same"], row["other"], row["half"], row["none"]) == (1, 0, 0.5, 0.0) and row["overlap"] == pytest.approx(5 / 9)
+
+
+def test_weighted_distance_and_frames_of_triples(spark):
+    df = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0], 3.0), ([1.0, 0.0], [2.0, 0.0], 1.0), ([0.0, 0.0], [1.0, 0.0], 9.0)], "a array<double>, b array<double>, w double")
+    assert vectors.mean_distance(df, "a", "b", "w").first()["distance"] == 0.75 and vectors.mean_distance(df, "a", "b").first()["distance"] == 0.5
+    words = spark.createDataFrame([(w, [1.0, 0.01 * i] if w < "m" else [0.01 * i, 1.0]) for i, w in enumerate("abcxyz")], "word string, vector array<double>")
+    rows = spark.createDataFrame([("a", "b", "c"), ("b", "a", "c"), ("c", "b", "a"), ("x", "y", "z"), ("y", "x", "z"), ("z", "y", "x"), ("a", "q", "b")], "p string, s string, o string")
+    found = {(r["p"], r["s"]): r["cluster"] for r in clustering.whispered_frames(rows, ["p", "s", "o"], [words] * 3, 2).collect()}
+    assert len(found) == 6 and len({found[p] for p in found if p[0] < "m"}) == 1 and len(set(found.values())) == 2
+    kept = triples.without_pronouns(spark.createDataFrame([("It",), ("dog",)], "term string"))
+    assert [r["term"] for r in kept.collect()] == ["dog"]
