@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ SIMPLIFIED = {
 
 
 def cleaned(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{BAD_CHARACTERS}]", "")
+    return F.translate(text, BAD_CHARACTERS, "")
 
 
 def tokens(text: Column) -> Column:
@@ -82,20 +84,29 @@ def abbreviations(words: DataFrame, word: str) -> DataFrame:
     return scored.where(F.col("score") >= LEAST_ABBREVIATION).select("term", "score")
 
 
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is computed once a row, however often it is used."""
+    return F.transform(F.array(value), make)[0]
+
+
 def split_english(text: Column, known: Column) -> Column:
     """Sentences of words parted by single blanks. A word with an end mark closes one, unless its stop belongs to an
     abbreviation of ``known`` (an array of words in small letters) or an initial, or a small letter follows."""
-    words = tokens(text)
-    n = F.size(words)
 
-    def closes(w: Column, i: Column) -> Column:
-        bare = F.regexp_replace(F.lower(w), r"\.$|^[\"'“‘(\[]+", "")
-        held = w.endswith(".") & (F.array_contains(known, bare) | w.rlike(r"^[\"'“‘(\[]*\p{Lu}\.$"))
-        goes_on = F.coalesce(F.get(words, i + 1).rlike(r"^\p{Ll}"), F.lit(False))
-        return F.when((i == n - 1) | (w.rlike(SENTENCE_EN) & ~held & ~goes_on), i + 1)
+    def ends_of(words: Column) -> Column:
+        def closes(w: Column, i: Column) -> Column:
+            bare = F.regexp_replace(F.lower(w), r"\.$|^[\"'“‘(\[]+", "")
+            held = w.endswith(".") & (F.array_contains(known, bare) | w.rlike(r"^[\"'“‘(\[]*\p{Lu}\.$"))
+            goes_on = F.coalesce(F.get(words, i + 1).rlike(r"^\p{Ll}"), F.lit(False))
+            return F.when(i == F.size(words) - 1, i + 1).when(w.rlike(SENTENCE_EN), F.when(~held & ~goes_on, i + 1))
+
+        return F.filter(F.transform(words, closes), lambda e: e.isNotNull())
+
+    def joined(words: Column, ends: Column) -> Column:
+        before = lambda k: F.coalesce(F.get(ends, k - 1), F.lit(0))
+        return F.transform(ends, lambda e, k: F.array_join(F.slice(words, before(k) + 1, e - before(k)), " "))
 
-    ends = F.filter(F.transform(words, closes), lambda e: e.isNotNull())
-    return F.transform(ends, lambda e, k: F.array_join(F.slice(words, F.coalesce(F.get(ends, k - 1), F.lit(0)) + 1, e - F.coalesce(F.get(ends, k - 1), F.lit(0))), " "))
+    return bound(tokens(text), lambda words: bound(ends_of(words), lambda ends: joined(words, ends)))
 
 
 def simplified(text: Column, table: dict[str, str] | None = None) -> Column:
