@@ -120,22 +120,43 @@ def role_units(mentions: DataFrame) -> DataFrame:
     return rows.select("frame", "role", F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["unit"], x["n"].cast("string"))), ", ").alias("units"), "n")
 
 
+def largest_roles(sizes: DataFrame, least: int) -> DataFrame:
+    """``sizes`` (``frame, role, size``) of the frames with three roles of ``least`` uses, with ``place``: the number by size of such a role that isn't the trigger, else null."""
+    large = F.col("size") >= least
+    named = large & (F.col("role") != TRIGGER_ROLE)
+    frame = Window.partitionBy("frame")
+    order = frame.orderBy(F.when(named, 0).otherwise(1), F.desc("size"), "role")
+    return sizes.withColumns({"_n": F.count(F.when(large, 1)).over(frame), "place": F.when(named, F.row_number().over(order))}).where("frame is not null and _n >= 3").drop("_n")
+
+
 def frame_triples(roles: DataFrame, verbs: DataFrame, least: int = 10) -> DataFrame:
     """``frame, subject, verb, object``: all combinations of the units of a frame's two largest roles with its verbs.
 
     ``roles`` is ``frame, role, unit, n``, ``verbs`` is ``frame, verb``. A role counts with units of ``least`` uses in all; a frame
-    counts with three such roles, two of them not the trigger, and a verb. Lexicons are small, so the product of a
-    frame's lists is its result.
+    counts with three such roles, two of them not the trigger, and a verb. The rows are the product of a frame's lists;
+    ``frame_triple_counts`` tells how many without making them.
     """
-    sizes = roles.groupBy("frame", "role").agg(F.sum("n").alias("size")).where(F.col("size") >= least)
-    enough = sizes.groupBy("frame").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 3").select("frame")
-    w = Window.partitionBy("frame").orderBy(F.desc("size"), "role")
-    top = sizes.where(F.col("role") != TRIGGER_ROLE).join(enough, "frame", "left_semi").withColumn("place", F.row_number().over(w)).where("place <= 2")
+    sizes = roles.groupBy("frame", "role").agg(F.sum("n").alias("size"))
+    top = largest_roles(sizes, least).where("place <= 2")
     units = roles.join(top.select("frame", "role", "place"), ["frame", "role"]).select("frame", "place", "unit").distinct()
     first, second = (units.where(F.col("place") == i).select("frame", F.col("unit").alias(c)) for i, c in ((1, "subject"), (2, "object")))
     return first.join(second, "frame").join(verbs.select("frame", "verb").distinct(), "frame").select("frame", "subject", "verb", "object")
 
 
+def frame_triple_counts(roles: DataFrame, least: int = 10) -> DataFrame:
+    """``frame, n, first_subject, last_object``: number, smallest subject and largest object of the ``frame_triples`` of each frame with its trigger's units as verbs.
+
+    Subjects, verbs and objects meet in every combination, so their number is the product of the lists' lengths and the
+    ends are those of the lists: exact, while the rows would grow with the cube of the lists.
+    """
+    counted = roles.groupBy("frame", "role", "unit").agg(F.sum("n").alias("n"))
+    sizes = counted.groupBy("frame", "role").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("units"), F.min("unit").alias("first"), F.max("unit").alias("last"))
+    of = lambda which, c: F.max(F.when(which, F.col(c)))
+    subject, obj, verb = F.col("place") == 1, F.col("place") == 2, F.col("role") == TRIGGER_ROLE
+    n = of(subject, "units") * of(obj, "units") * of(verb, "units")
+    return largest_roles(sizes, least).groupBy("frame").agg(n.alias("n"), of(subject, "first").alias("first_subject"), of(obj, "last").alias("last_object")).where("n is not null")
+
+
 def with_children(frames: DataFrame, inherits: DataFrame, depth: int | None = None) -> DataFrame:
     """``frame, unit``: the units (``frame, unit``) of each frame with those of all frames below it (``inherits``: ``parent, child``)."""
     from schemaloom.session import with_checkpoints

@@ -1,6 +1,10 @@
+import random
+import threading
+
 from pyspark.sql import functions as F
 
 from schemaloom.operators import annotation, corpus, lexicon, mentions, triples
+from schemaloom.plans import lexicon as plans
 
 
 def one(spark, expr):
@@ -42,6 +46,34 @@ def test_frame_triples_need_three_roles_and_a_verb(spark):
     assert sorted(tuple(r) for r in rows.collect()) == sorted(("F", s, v, "home") for s in ("dog", "cat") for v in ("run", "go"))
 
 
+def test_counted_triples_are_those_that_the_product_has(spark):
+    draw = random.Random(3)
+    names = ("A", "B", "C", "D", lexicon.TRIGGER_ROLE)
+    rows = [(f"F{f}", role, draw.choice("abcdefgh") + str(u), draw.randint(1, 6)) for f in range(40) for role in names[draw.randint(0, 2) :] for u in range(draw.randint(0, 5))]
+    rows += [("tie", role, f"{role}{i}", 6) for role in ("X", "Y", "Z") for i in (1, 2)] + [("tie", lexicon.TRIGGER_ROLE, "v", 1)]  # a trigger of any size
+    rows += [("none", role, "u", 20) for role in ("X", "Y", "Z")] + [("null", role, u, 9) for role in ("X", "Y", lexicon.TRIGGER_ROLE) for u in ("a", None)]
+    rows += [(None, role, "u", 20) for role in ("X", "Y", lexicon.TRIGGER_ROLE)]
+    roles = spark.createDataFrame(rows, "frame string, role string, unit string, n int")
+    made = lexicon.frame_triples(roles, roles.where(F.col("role") == lexicon.TRIGGER_ROLE).select("frame", F.col("unit").alias("verb")), 10)
+    wanted = made.groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.min("subject").alias("s"), F.max("object").alias("o"))
+    got = sorted(tuple(r) for r in lexicon.frame_triple_counts(roles, 10).collect())
+    assert got == sorted(tuple(r) for r in wanted.collect())
+    assert {"tie", "null"} <= {r[0] for r in got} and 10 < len(got) < 43 and "none" not in {r[0] for r in got}
+
+
+def test_triples_of_long_lists_are_counted(spark, tmp_path):
+    """The query over lists whose product nobody can make: 4,000 subjects, objects and verbs."""
+    event = "struct('T:E' as event_type, struct(concat('v', id) as text, 0 as start, 1 as end) as trigger, array(struct('e' as entity_id, 'A' as role, concat('a ', 's', id) as text), struct('e' as entity_id, 'B' as role, concat('o', id) as text)) as arguments)"
+    rows = spark.range(4000).selectExpr("id as inst_id", f"array({event}) as event_mentions", "array(struct('e' as id, 'NAM' as mention_type, 0 as start, 1 as end)) as entity_mentions")
+    rows.write.parquet(f"{tmp_path}/train_oneie.parquet")
+    late = threading.Timer(120, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        assert [tuple(r) for r in plans.frame_triples(spark, str(tmp_path)).collect()] == [("T:E", 4000**3, "s0", "o999")]
+    finally:
+        late.cancel()
+
+
 def test_children_paths_and_clusters(spark):
     frames = spark.createDataFrame([("A", "a"), ("B", "b"), ("C", "c")], "frame string, unit string")
     inherits = spark.createDataFrame([("A", "B"), ("B", "C")], "parent string, child string")
